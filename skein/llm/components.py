@@ -1,0 +1,28 @@
+"""Connected components of an edge table, by minimum labels with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) edges of ids -> (node, component) with the least id reachable, for every node of an edge.
+
+    Each round takes the least label among a node and its neighbours, then the label of
+    that label, so paths shrink at least by half; rounds end when no label changes.
+    Minima are partial sums before they move, so a hub's edges meet in no single task.
+    """
+    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        moved = labels.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
+        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        labels_next = cut(moved.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("root", "component")).alias("component")))
+        changed = labels_next.where("old <> component").limit(1).count()
+        labels = labels_next.drop("old")
+        if not changed:
+            return labels

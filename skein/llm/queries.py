@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, license_scan, mixing, url_filter
+from . import decontaminate, langid, license_scan, mixing, neardup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Query]:
         "op5_language_id": op5_language_id,
         "op6_decontamination": op6_decontamination,
         "op7_license_scans": op7_license_scans,
+        "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op10_mixing": op10_mixing,
     }
 
