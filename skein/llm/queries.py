@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, license_scan, mixing, neardup, url_filter
+from . import decontaminate, langid, license_scan, mixing, neardup, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def _crc(modulus: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
+    return report.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op4_url_filters": op4_url_filters,
         "op5_language_id": op5_language_id,
         "op6_decontamination": op6_decontamination,
