@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, license_scan, mixing, neardup, suffix_dedup, url_filter
+from . import decontaminate, langid, license_scan, lm_score, mixing, neardup, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def _crc(modulus: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), train=_crc(7) != 2)
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = suffix_dedup.dedup_report(table(spark, sf_dir, "documents"))
     return report.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
@@ -55,6 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op4_url_filters": op4_url_filters,
         "op5_language_id": op5_language_id,
