@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, license_scan, lm_score, mixing, neardup, suffix_dedup, url_filter
+from . import decontaminate, html_extract, langid, license_scan, lm_score, mixing, neardup, suffix_dedup, topk, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -61,11 +69,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_lm_scoring": op1_lm_scoring,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
+        "op3_exact_top_k": op3_exact_top_k,
         "op4_url_filters": op4_url_filters,
         "op5_language_id": op5_language_id,
         "op6_decontamination": op6_decontamination,
         "op7_license_scans": op7_license_scans,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op9_html_extraction": op9_html_extraction,
         "op10_mixing": op10_mixing,
     }
 
@@ -90,16 +100,40 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+OP8_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def _license_sql() -> str:
     cases = " ".join(f"WHEN regexp_full_match(n, '{pattern}') THEN '{name}'" for name, pattern in license_scan.SENTENCES)
     rules = " ".join(f"WHEN regexp_matches(s, '{pattern}') THEN '{name}'" for name, pattern in license_scan.RULES)
     return rf"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[\r\n]+|[.!?;]+(?:[ \t]+|$)'), x -> trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), x -> x <> '') AS n FROM documents),
-i AS (SELECT doc_id, list_filter(list_transform(n, n -> CASE {cases} END), x -> x IS NOT NULL) AS ids FROM s),
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[\r\n]+|[.!?;]+(?:[ \t]+|$)'), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS n FROM documents),
+i AS (SELECT doc_id, list_filter(list_transform(n, lambda n: CASE {cases} END), lambda x: x IS NOT NULL) AS ids FROM s),
 t AS (SELECT doc_id, array_to_string(ids, ' ') AS sentence_ids, len(ids) AS n_sentences, ' ' || array_to_string(ids, ' ') || ' ' AS s FROM i)
 SELECT doc_id, sentence_ids, n_sentences, CASE {rules} END AS license FROM t
 """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL, "op7_license_scans": _license_sql()}
+    return {"op3_exact_top_k": OP3_SQL, "op8_minhash_near_dedup": OP8_SQL, "op6_decontamination": OP6_SQL, "op7_license_scans": _license_sql()}
