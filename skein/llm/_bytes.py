@@ -123,3 +123,12 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         out *= STEP
         out += h[j : n + j]
     return mixed(out)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: high bytes that are mostly zeros compress to nothing."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def unplanes(raw: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
