@@ -1,0 +1,64 @@
+"""Sinks: digest text, blocks, message packing, idempotent delivery."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import dates as D
+from ..functions import text as T
+
+
+def article_line(title: Column, source: Column, day: Column) -> Column:
+    return F.concat(F.lit("• "), T.escape_markup(title), F.lit(" ("), source, F.lit(", "), D.short_label(day), F.lit(")"))
+
+
+def digest(rows: DataFrame, placeholder: str = "(none)") -> DataFrame:
+    """(category, digest): ranked lines under a heading of each region."""
+    line = article_line(F.col("title"), F.col("source"), F.col("day"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n")
+    parts = rows.groupBy("category", "region").agg(lines.alias("lines"))
+    part = F.concat(F.lit("*"), F.col("region"), F.lit("*\n"), F.coalesce(F.nullif("lines", F.lit("")), F.lit(placeholder)))
+    return parts.groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("region", part.alias("part")))), lambda x: x["part"]), "\n").alias("digest"))
+
+
+def blocks(digests: DataFrame, most: int = 50) -> DataFrame:
+    """One row a message: a JSON list of section blocks, at most `most` of them."""
+    section = F.struct(F.lit("section").alias("type"), F.struct(F.lit("mrkdwn").alias("type"), F.col("digest").alias("text")).alias("text"))
+    ordered = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("category", section.alias("b")))), lambda x: x["b"]), 1, most)
+    return digests.agg(F.to_json(ordered).alias("blocks"))
+
+
+def pack_lines(lines: DataFrame, group: str, order: str, size: str, most: int = 4096) -> DataFrame:
+    """Number of the message of each line: a line that does not fit starts the next.
+
+    The sum starts anew with each message, so a group's lines are folded in order; a
+    group is one text, which fits in memory.
+    """
+    folded = lines.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("int").alias("n")))).alias("lines"))
+    zero = F.struct(F.lit(-1).alias("used"), F.lit(1).alias("message"), F.array().cast("array<int>").alias("messages"))
+
+    def add(state: Column, line: Column) -> Column:
+        together = state["used"] + 1 + line["n"]
+        fits = (together <= most) | (state["used"] < 0)
+        message = F.when(fits, state["message"]).otherwise(state["message"] + 1)
+        used = F.when(fits, together).otherwise(line["n"])
+        return F.struct(used.alias("used"), message.alias("message"), F.concat(state["messages"], F.array(message)).alias("messages"))
+
+    packed = folded.withColumn("m", F.aggregate("lines", zero, add)["messages"])
+    pair = F.explode(F.arrays_zip("lines", "m")).alias("p")
+    return packed.select(group, pair).select(group, F.col("p.lines.o").alias(order), F.col("p.m").alias("message"))
+
+
+def deliver_once(rows: DataFrame, sent: DataFrame, key: str, post: Callable[[list], None] | None = None, most: int = 1000) -> DataFrame:
+    """Rows whose key was not delivered before; `post` (default: nothing) gets them, at most `most`.
+
+    Delivery is at most once: keys are to be appended to `sent` before an ambiguous
+    failure is ever retried.
+    """
+    due = rows.join(sent.select(key).distinct(), key, "left_anti")
+    if post is not None:
+        post(due.limit(most).collect())
+    return due
