@@ -24,22 +24,25 @@ def leader_clusters(nodes: DataFrame, edges: DataFrame, id: str = "ord") -> Data
     """(id, leader): in id order an unclaimed node leads and claims its unclaimed neighbours.
 
     `edges` holds (i, j), i < j.  A round makes leaders of all undecided nodes with no
-    undecided smaller neighbour; their larger neighbours go to the smallest leader.
+    undecided smaller neighbour and rules out their larger neighbours; once all are
+    decided, a node that does not lead belongs to its smallest neighbour that does.
     """
     edges = cut(edges.select("i", "j").distinct())
     open_ = nodes.select(F.col(id).alias("n")).distinct()
     # nodes without edges lead at once
     touched = edges.select(F.col("i").alias("n")).unionByName(edges.select(F.col("j").alias("n"))).distinct()
-    done = cut(open_.join(touched, "n", "left_anti").select(F.col("n").alias(id), F.col("n").alias("leader")))
+    leaders = cut(open_.join(touched, "n", "left_anti"))
     open_ = cut(open_.join(touched, "n", "left_semi"))
     while open_.limit(1).count():
         live = edges.join(open_.withColumnRenamed("n", "i"), "i").join(open_.withColumnRenamed("n", "j"), "j")
-        leads = open_.join(live.select(F.col("j").alias("n")), "n", "left_anti")
-        claims = live.join(leads.withColumnRenamed("n", "i"), "i").groupBy(F.col("j").alias("n")).agg(F.min("i").alias("leader"))
-        settled = cut(leads.select("n", F.col("n").alias("leader")).unionByName(claims))
-        done = done.unionByName(settled.select(F.col("n").alias(id), "leader"))
-        open_ = cut(open_.join(settled, "n", "left_anti"))
-    return done
+        leads = cut(open_.join(live.select(F.col("j").alias("n")), "n", "left_anti"))
+        claimed = live.join(leads.withColumnRenamed("n", "i"), "i", "left_semi").select(F.col("j").alias("n"))
+        leaders = leaders.unionByName(leads)
+        open_ = cut(open_.join(leads.unionByName(claimed), "n", "left_anti"))
+    leaders = cut(leaders)
+    members = edges.join(leaders.withColumnRenamed("n", "i"), "i", "left_semi").join(leaders.withColumnRenamed("n", "j"), "j", "left_anti")
+    claims = members.groupBy(F.col("j").alias(id)).agg(F.min("i").alias("leader"))
+    return leaders.select(F.col("n").alias(id), F.col("n").alias("leader")).unionByName(claims)
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
