@@ -29,7 +29,10 @@ FURNITURE_NAMES = frozenset(
     "ad ads adbox adslot adsense advert adverts advertisement advertising banner sponsor sponsored sponsors promo promotion promotions nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar sidebars rail widget widgets footer foot header masthead topbar cookie cookies consent gdpr privacy notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register share sharing social follow related recommended recommendations recirculation comment comments commentlist reply replies respond disqus discussion form search pagination pager copyright legal disclaimer skip toolbar paywall tags trending popular".split()
 )
 FURNITURE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+FURNITURE_PARTS = ("sidebar", "footer", "advert", "cookie", "navbar", "newsletter", "breadcrumb")
 MAIN_NAMES = frozenset("article story content post entry body text main".split())
+#: Of these, an own header or tags are part of the text.
+STORY_NAMES = frozenset("article story post entry".split())
 SPACE_TAGS = frozenset("br wbr img input".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^<>]*\Z|[^<]+|<", re.S)
@@ -143,10 +146,10 @@ def _kind(tag: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
         if name in ("class", "id") and tag not in MAIN_TAGS:
             for token in value.split():
                 parts = [w.lower() for w in _NAME.findall(token)]
-                named = [w for w in parts if w in FURNITURE_NAMES]
-                if any(w in MAIN_NAMES for w in parts):
+                named = [w for w in parts if w in FURNITURE_NAMES or any(p in w for p in FURNITURE_PARTS)]
+                if any(w in STORY_NAMES for w in parts):
                     named = [w for w in named if w not in ("header", "tags")]
-                    main |= not named
+                main |= not named and any(w in MAIN_NAMES for w in parts)
                 furniture |= bool(named)
         elif name == "role":
             furniture |= value.lower() in FURNITURE_ROLES
@@ -162,7 +165,7 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool, bool]]:
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []
-    main = furniture = False
+    main = furniture = own_furniture = False
     heading = 0
     in_link = False
     raw = None
@@ -173,7 +176,7 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 words = text.count(" ") + 1
-                out.append((text, min(1.0, linked / words), main, furniture, heading > 0))
+                out.append((text, min(1.0, linked / words), main, furniture or own_furniture, heading > 0))
             parts.clear()
         linked = 0
 
@@ -209,22 +212,23 @@ def blocks_of(page: str) -> list[tuple[str, float, bool, bool, bool]]:
             parts.append(" ")
         elif tag in BLOCK_TAGS:
             flush()
-            in_link = False
+            in_link = own_furniture = False
             if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
                 heading = 0 if closing else 1
             elif heading:
                 heading = 0
-            if tag in CONTAINER_TAGS or (not closing and attributes):
-                if closing:
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] == tag:
-                            _, main, furniture = stack[i]
-                            del stack[i:]
-                            break
-                elif tag in CONTAINER_TAGS:
-                    stack.append((tag, main, furniture))
-                    is_main, is_furniture = _kind(tag, attributes, main)
-                    main, furniture = main or is_main, furniture or is_furniture
+            if tag in CONTAINER_TAGS and closing:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        _, main, furniture = stack[i]
+                        del stack[i:]
+                        break
+            elif tag in CONTAINER_TAGS:
+                stack.append((tag, main, furniture))
+                is_main, is_furniture = _kind(tag, attributes, main)
+                main, furniture = main or is_main, furniture or is_furniture
+            elif attributes and not closing:
+                own_furniture = _kind(tag, attributes, main)[1]
     flush()
     return out
 
