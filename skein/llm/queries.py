@@ -34,7 +34,8 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("posterior", 6).alias("posterior"), F.round("lower_bound", 6).alias("lower_bound"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +110,37 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+def _strength(level: str, members: str, group: str) -> str:
+    """Sums, mean and prior strength of a level over its members."""
+    by = f"GROUP BY {group}" if group else ""
+    keys = f"{group}, " if group else ""
+    return f"""{level}0 AS (SELECT {keys}sum(bad) AS b, sum(n) AS n, count(*) AS k, sum(bad * bad / n) AS bb, sum(n * n) AS nn FROM {members} {by}),
+{level}1 AS (SELECT *, b / n AS mean, (bb - b * (b / n) - (k - 1) * (b / n) * (1 - b / n)) / nullif(n - nn / n, 0) AS var FROM {level}0),
+{level} AS (SELECT *, least(greatest(coalesce(mean * (1 - mean) / (CASE WHEN var > 0 THEN var END) - 1, {url_filter.MOST_STRENGTH}), {url_filter.LEAST_STRENGTH}), {url_filter.MOST_STRENGTH}) AS strength FROM {level}1)"""
+
+
+def _url_sql() -> str:
+    ordered = sorted(url_filter.RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    fits = [(what, at + prefix, f"(host = '{at}' OR ends_with(host, '.{at}')) AND starts_with(path, '{prefix}')") for what, at, prefix in ordered]
+    rule = " ".join(f"WHEN {c} THEN '{r}'" for _, r, c in fits)
+    ruled = " ".join(f"WHEN {c} THEN '{w}'" for w, _, c in fits)
+    return f"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+m AS (SELECT doc_id, max(CAST(toxic = 1 AS INTEGER)) AS bad FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+hosts AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS domain, string_split(host, '.')[-1] AS suffix,
+          CAST(sum(bad) AS DOUBLE) AS bad, CAST(count(*) AS DOUBLE) AS n FROM s JOIN m ON page_id = doc_id WHERE host <> '' GROUP BY host),
+domains AS (SELECT suffix, domain, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY ALL), suffixes AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM domains GROUP BY ALL),
+{_strength("a", "suffixes", "")}, {_strength("x", "domains", "suffix")}, {_strength("d", "hosts", "domain")},
+xm AS (SELECT x.suffix, x.strength, (x.b + a.strength * ((a.b + 1) / (a.n + 2))) / (x.n + a.strength) AS mean FROM x, a),
+dm AS (SELECT d.domain, d.strength, (d.b + xm.strength * xm.mean) / (d.n + xm.strength) AS mean FROM d JOIN domains USING (domain) JOIN xm USING (suffix)),
+p AS (SELECT host, hosts.bad + strength * mean AS a, hosts.n - hosts.bad + strength * (1 - mean) AS b FROM hosts JOIN dm USING (domain)),
+q AS (SELECT host, a / (a + b) AS posterior, greatest(0.0, a / (a + b) - {url_filter.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS lower_bound FROM p)
+SELECT page_id, s.host, path, CASE {rule.replace('host', 's.host')} END AS rule, coalesce(CASE {ruled.replace('host', 's.host')} END, CASE WHEN lower_bound > {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, round(posterior, 6) AS posterior, round(lower_bound, 6) AS lower_bound
+FROM s LEFT JOIN q ON s.host = q.host
+"""
+
+
 OP8_SQL = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
@@ -136,4 +168,4 @@ SELECT doc_id, sentence_ids, n_sentences, CASE {rules} END AS license FROM t
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": OP3_SQL, "op8_minhash_near_dedup": OP8_SQL, "op6_decontamination": OP6_SQL, "op7_license_scans": _license_sql()}
+    return {"op4_url_filters": _url_sql(), "op3_exact_top_k": OP3_SQL, "op8_minhash_near_dedup": OP8_SQL, "op6_decontamination": OP6_SQL, "op7_license_scans": _license_sql()}

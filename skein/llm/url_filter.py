@@ -52,7 +52,7 @@ def domain_of(host: Column, suffix_labels: int = 1) -> tuple[Column, Column]:
     return F.substring_index(host, ".", -(suffix_labels + 1)), F.substring_index(host, ".", -suffix_labels)
 
 
-def _strength(rate: Column, n: Column, over: str, stats: DataFrame, keys: list[str]) -> DataFrame:
+def _strength(over: str, stats: DataFrame, keys: list[str]) -> DataFrame:
     """Strength of the prior of each group in `keys`, by moments over its members."""
     groups = stats.groupBy(*keys) if keys else stats.groupBy()
     sums = groups.agg(F.sum("bad").alias("_b"), F.sum("n").alias("_n"), F.count("*").alias("_k"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("_bb"), F.sum(F.col("n") * F.col("n")).alias("_nn"))
@@ -71,9 +71,9 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     hosts = outcomes.withColumn("domain", domain).withColumn("suffix", suffix)
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    of_all = _strength(F.lit(0), F.lit(0), "all", suffixes, [])
-    of_suffix = _strength(F.lit(0), F.lit(0), "suffix", domains, ["suffix"])
-    of_domain = _strength(F.lit(0), F.lit(0), "domain", hosts.select("suffix", "domain", "bad", "n"), ["suffix", "domain"])
+    of_all = _strength("all", suffixes, [])
+    of_suffix = _strength("suffix", domains, ["suffix"])
+    of_domain = _strength("domain", hosts.select("suffix", "domain", "bad", "n"), ["suffix", "domain"])
     all_mean = (F.col("all_bad") + 1) / (F.col("all_n") + 2)
     # the overall row is one aggregate of one row: its size is proven
     prior = of_suffix.crossJoin(F.broadcast(of_all)).withColumn("suffix_mean", (F.col("suffix_bad") + F.col("all_strength") * all_mean) / (F.col("suffix_n") + F.col("all_strength")))
