@@ -133,11 +133,11 @@ def html_semantic_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.list_page_items(table(spark, sf_dir, "pages"))
 
 
-@query(f"""WITH {EVENT}, u AS (SELECT DISTINCT user_id FROM ev WHERE day < DATE '2024-01-10') SELECT ord FROM ev WHERE day >= DATE '2024-01-10' AND user_id NOT IN (SELECT user_id FROM u WHERE user_id % 3 = 0)""")
+@query(f"""WITH {EVENT}, u AS (SELECT DISTINCT user_id FROM ev WHERE day < DATE '2024-01-10' AND value > 98) SELECT ord FROM ev WHERE day >= DATE '2024-01-10' AND user_id NOT IN (SELECT user_id FROM u)""")
 def seen_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_rows(spark, sf_dir)
     cut = F.lit("2024-01-10").cast("date")
-    seen = rows.where((F.col("day") < cut) & (F.col("user_id") % 3 == 0)).select(F.col("user_id").alias("value"))
+    seen = rows.where((F.col("day") < cut) & (F.col("value") > 98)).select(F.col("user_id").alias("value"))
     return J.unseen(rows.where(F.col("day") >= cut), seen, ["user_id"]).select("ord")
 
 

@@ -329,9 +329,9 @@ def alert_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.cooled_down(event_rows(spark, sf_dir).select("user_id", "ts"), ["user_id"], "ts").select("user_id", F.unix_micros("ts").alias("sent_us"))
 
 
-@query(f"WITH {EVENT}, d AS (SELECT DISTINCT day FROM ev WHERE k % 29 = 0 AND event_type = 'purchase') SELECT CAST(CAST(g AS DATE) AS VARCHAR) AS expected FROM generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) t(g) WHERE CAST(g AS DATE) NOT IN (SELECT day FROM d)")
+@query(f"WITH {EVENT}, d AS (SELECT DISTINCT day FROM ev WHERE value > 250 AND event_type = 'purchase') SELECT CAST(CAST(g AS DATE) AS VARCHAR) AS expected FROM generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY) t(g) WHERE CAST(g AS DATE) NOT IN (SELECT day FROM d)")
 def watchdog_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sent = event_rows(spark, sf_dir).where("k % 29 = 0 AND event_type = 'purchase'")
+    sent = event_rows(spark, sf_dir).where("value > 250 AND event_type = 'purchase'")
     first, last = (F.lit(d).cast("date") for d in ("2024-01-01", "2024-01-30"))
     return M.missing_days(sent, "day", first, last).select(F.col("expected").cast("string").alias("expected"))
 
@@ -353,11 +353,11 @@ def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ART}, r AS (SELECT *, row_number() OVER (PARTITION BY category, region ORDER BY size DESC, ord) AS rank FROM art), k AS (SELECT * FROM r WHERE rank <= 3),
-l AS (SELECT category, region, '*' || region || '*' || chr(10) || string_agg('• ' || replace(replace(replace(replace(left(title, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|', '｜') || ' (' || source || ', ' || strftime(day, '%y.%m.%d') || ')', chr(10) ORDER BY rank) AS part FROM k GROUP BY category, region)
+l AS (SELECT category, region, '*' || region || '*' || chr(10) || string_agg('• ' || replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|', '｜') || ' (' || source || ', ' || strftime(day, '%y.%m.%d') || ')', chr(10) ORDER BY rank) AS part FROM k GROUP BY category, region)
 SELECT category, string_agg(part, chr(10) ORDER BY region) AS digest FROM l GROUP BY category""")
 def digest_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = S.top_per_group(articles(spark, sf_dir), ["category", "region"], [F.desc("size")], 3)
-    return render.digest(best.withColumn("title", F.left("title", F.lit(60))))
+    return render.digest(best)
 
 
 @query(f"WITH {EVENT} SELECT ord FROM ev WHERE day = DATE '2024-01-20' AND k >= 50 UNION ALL SELECT ord FROM ev WHERE day <> DATE '2024-01-20' AND day >= DATE '2024-01-06'")
@@ -367,18 +367,18 @@ def review_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.retained(rows, rows.where((F.col("day") == edition) & (F.col("k") >= 50)), "day", edition, F.date_sub(edition, 14)).select("ord")
 
 
-@query("""WITH RECURSIVE l AS (SELECT conv_id, turn, least(length(text), 400) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+@query("""WITH RECURSIVE l AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
 p AS (SELECT conv_id, turn, i, n AS used, 1 AS message FROM l WHERE i = 1 UNION ALL SELECT l.conv_id, l.turn, l.i, CASE WHEN p.used + 1 + l.n > 400 THEN l.n ELSE p.used + 1 + l.n END, CASE WHEN p.used + 1 + l.n > 400 THEN p.message + 1 ELSE p.message END FROM p JOIN l ON l.conv_id = p.conv_id AND l.i = p.i + 1)
 SELECT conv_id, turn, message FROM p""")
 def line_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.least(F.length("text"), F.lit(400)).alias("size"))
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
     return render.pack_lines(lines, "conv_id", "turn", "size", 400).select("conv_id", "turn", "message")
 
 
 @query()
 def archive_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as archive records and read by the tolerant reader, last write wins."""
-    rows = event_rows(spark, sf_dir).where("k < 20")
+    rows = event_rows(spark, sf_dir)
     record = F.to_json(F.struct(F.lit(3).alias("version"), F.col("day").cast("string").alias("edition_date"), F.array(F.struct(F.concat(F.lit("https://a.example/"), (F.col("k")).cast("string")).alias("url"), F.col("event_type").alias("category"), F.col("value").alias("editor_score"))).alias("articles")))
     lines = rows.select(F.col("ord").alias("seq"), F.when(F.col("ord") % 50 == 0, "{broken").otherwise(record).alias("value"))
     return A.read_lines(lines).select("identity", "category", "edition_date", "seq", "first_seen")

@@ -105,10 +105,10 @@ def semi_anti_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("WITH r AS (SELECT p_partkey AS k, p_retailprice AS lo, p_retailprice + 0.5 AS hi FROM part WHERE p_partkey % 10 = 0) SELECT k, count(*) AS n FROM r JOIN part ON part.p_retailprice BETWEEN lo AND hi GROUP BY k")
+@query("WITH r AS (SELECT p_partkey AS k, p_retailprice AS lo, p_retailprice + 0.05 AS hi FROM part) SELECT k, count(*) AS n FROM r JOIN part ON part.p_retailprice BETWEEN lo AND hi GROUP BY k")
 def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    ranges = part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 0.5).alias("hi"))
+    ranges = part.select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("lo"), (F.col("p_retailprice") + 0.05).alias("hi"))
     met = J.range_join(part.select("p_retailprice"), ranges, F.col("p_retailprice"), F.col("lo"), F.col("hi"), 1.0)
     return met.groupBy("k").agg(F.count("*").alias("n"))
 
