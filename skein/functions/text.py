@@ -6,8 +6,10 @@ otherwise.  Null and empty text are the same value throughout.
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Iterable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -244,10 +246,6 @@ def same_issue(a: Column, b: Column, hangul_share: float = 0.3, gram_level: floa
 
 def sequence_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp ratio; an Arrow UDF, as no built-in expression computes it."""
-    import difflib
-
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y, strict=True)], dtype=float)
