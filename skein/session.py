@@ -38,6 +38,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="skein-checkpoint-", dir=os.environ.get("TMPDIR")))
 
 
+def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Arrow batches of at most `most` bytes: a Python worker's memory follows them, however long rows are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > most:
+        spark.conf.set(key, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there from now on."""
     ensure_checkpoint_dir(df.sparkSession)
