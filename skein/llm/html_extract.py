@@ -19,6 +19,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
+
 #: Names of elements and of classes, by what they hold.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td template tfoot th thead title tr ul".split())
 CONTAINER_TAGS = frozenset("article aside body details dialog div dl fieldset figure footer form head header main menu nav ol section select table template ul".split())
@@ -249,6 +251,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", htm
 
     Unclosed and stray tags are taken as they come; repeated rows each give a row.
     """
+    bound_batches(pages.sparkSession)
     shipped = pages.sparkSession.sparkContext.broadcast(cloudpickle.dumps(trained_tree()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

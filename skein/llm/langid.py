@@ -18,10 +18,11 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from . import _bytes as B
 
-#: The sample: documents per language that a model is fitted on.
-FIT_DOCS = 400
+#: The sample: documents per language that a model is fitted on, and languages that are learned (the commonest).
+FIT_DOCS, LANGUAGES = 400, 256
 ORDER = 4
 UNDETERMINED = "und"
 DISCOUNT = 0.75
@@ -221,9 +222,11 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     """Models from at most `fit_docs` labelled documents of each language (null: none is labelled)."""
     pool = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.length(text).alias("n"))
     pool = pool.where((F.lit(True) if train is None else train) & F.col("lang").isNotNull() & (F.col("n") > 0))
+    # at most LANGUAGES rows
+    common = pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = pool.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fit_docs).select("doc_id").distinct()
-    # at most fit_docs ids a language
+    chosen = pool.join(F.broadcast(common), "lang", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fit_docs).select("doc_id").distinct()
+    # at most fit_docs ids of each of LANGUAGES languages
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang").collect()
     texts: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r.lang, r.text)):
@@ -257,6 +260,7 @@ def identify(docs: DataFrame, models: Models | None, *, doc_id: str = "doc_id",
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     if models is None:
         return slim.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(True).alias("rejected"))
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(models))
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,6 +278,7 @@ def drop_rejected(docs: DataFrame, models: Models | None, *, text: str = "text")
     """docs, whole and unchanged, without those whose language is rejected."""
     if models is None:
         return docs.where(F.lit(False))
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(models))
     at = docs.columns.index(text)
 
