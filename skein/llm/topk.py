@@ -128,11 +128,15 @@ def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vecto
                 for lo in range(0, len(order), BATCH):
                     part = order[lo : lo + BATCH]
                     scores = accumulate(queries, [weights[i] for i in part])
-                    # one more than k: the query's own row may be among them, once for each repetition
-                    own = np.isin(ids[part], query_ids).sum()
-                    column = best_of(scores, min(k + int(own > 0) * int(np.unique(ids[part], return_counts=True)[1].max()), len(part)))
+                    # one column an id, of its highest score: copies take no places
+                    names, first = np.unique(ids[part], return_index=True)
+                    if len(names) < len(part):
+                        scores = np.maximum.reduceat(scores, first, axis=1)
+                    # one more than k: the query's own row may be among them
+                    own = np.isin(names, query_ids).any()
+                    column = best_of(scores, min(k + int(own), len(names)))
                     query = np.repeat(np.arange(len(queries)), column.shape[1])
-                    vec = ids[part][column.ravel()]
+                    vec = names[column.ravel()]
                     keep = vec != query_ids[query]
                     value = np.take_along_axis(scores, column, axis=1).ravel()[keep]
                     best.append((query_ids[query[keep]], vec[keep], value))
