@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,21 +31,35 @@ def build_session(app: str = "skein", cores: str = "*", shuffle_partitions: int
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a folder of our own only where none is set (tests)."""
+    """Use the cluster's shared folder; a folder of our own only on one machine where none is set (tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR)
+    if not configured and not re.match(r"local(\[|$)", context.master):
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="skein-checkpoint-", dir=os.environ.get("TMPDIR")))
 
 
 def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
-    """Arrow batches of at most `most` bytes: a Python worker's memory follows them, however long rows are."""
+    """Hold Arrow batches of this session to `most` bytes, or one row if that is longer.
+
+    The plan reads the setting when it runs, so it stays lowered after the call.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key).rstrip("b")) > most:
+    own = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if own > most:
         spark.conf.set(key, str(most))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, lengthened until no column of df has it (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there from now on."""
     ensure_checkpoint_dir(df.sparkSession)
