@@ -135,8 +135,8 @@ domains AS (SELECT suffix, domain, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP
 xm AS (SELECT x.suffix, x.strength, (x.b + a.strength * ((a.b + 1) / (a.n + 2))) / (x.n + a.strength) AS mean FROM x, a),
 dm AS (SELECT d.domain, d.strength, (d.b + xm.strength * xm.mean) / (d.n + xm.strength) AS mean FROM d JOIN domains USING (domain) JOIN xm USING (suffix)),
 p AS (SELECT host, hosts.bad + strength * mean AS a, hosts.n - hosts.bad + strength * (1 - mean) AS b FROM hosts JOIN dm USING (domain)),
-q AS (SELECT host, a / (a + b) AS posterior, greatest(0.0, a / (a + b) - {url_filter.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS lower_bound FROM p)
-SELECT page_id, s.host, path, CASE {rule.replace('host', 's.host')} END AS rule, coalesce(CASE {ruled.replace('host', 's.host')} END, CASE WHEN lower_bound > {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict, round(posterior, 6) AS posterior, round(lower_bound, 6) AS lower_bound
+q AS (SELECT host, (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM hosts) AS overall, a / (a + b) AS posterior, greatest(0.0, a / (a + b) - {url_filter.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS lower_bound FROM p)
+SELECT page_id, s.host, path, CASE {rule.replace('host', 's.host')} END AS rule, coalesce(CASE {ruled.replace('host', 's.host')} END, CASE WHEN lower_bound > overall THEN 'block' ELSE 'allow' END) AS verdict, round(posterior, 6) AS posterior, round(lower_bound, 6) AS lower_bound
 FROM s LEFT JOIN q ON s.host = q.host
 """
 
@@ -157,11 +157,14 @@ FROM w JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 
 
 def _license_sql() -> str:
+    line = _LOWER.format("coalesce(text, '')")
+    for pattern, by in license_scan.STEPS:
+        line = f"regexp_replace({line}, '{pattern}', '{by}', 'g')"
     cases = " ".join(f"WHEN regexp_full_match(n, '{pattern}') THEN '{name}'" for name, pattern in license_scan.SENTENCES)
     rules = " ".join(f"WHEN regexp_matches(s, '{pattern}') THEN '{name}'" for name, pattern in license_scan.RULES)
-    return rf"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[\r\n]+|[.!?;]+(?:[ \t]+|$)'), lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS n FROM documents),
-i AS (SELECT doc_id, list_filter(list_transform(n, lambda n: CASE {cases} END), lambda x: x IS NOT NULL) AS ids FROM s),
+    return f"""
+WITH s AS (SELECT doc_id, list_transform(regexp_extract_all('< ' || trim({line}) || ' >', '{license_scan.finder(license_scan.SENTENCES)}', 1), lambda x: replace(x, ' ) (', '')) AS n FROM documents),
+i AS (SELECT doc_id, list_transform(n, lambda n: CASE {cases} END) AS ids FROM s),
 t AS (SELECT doc_id, array_to_string(ids, ' ') AS sentence_ids, len(ids) AS n_sentences, ' ' || array_to_string(ids, ' ') || ' ' AS s FROM i)
 SELECT doc_id, sentence_ids, n_sentences, CASE {rules} END AS license FROM t
 """

@@ -3,7 +3,8 @@
 Labelled pages give each host good and bad outcomes.  The share of bad pages of a
 level (suffix, registered domain, host) is shrunk towards the level above through a
 beta-binomial prior whose strength comes from the spread between its members, and a
-host is blocked when a lower bound of its posterior passes the limit.
+host is blocked when a lower bound of its posterior passes the limit: by default the
+share of all labelled pages (smoothed by one page of each kind), so that a host credibly worse than the whole is blocked.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-LIMIT, Z = 0.5, 1.645
+#: The bound lies Z standard deviations below the posterior mean (80 % of a normal lie above it).
+Z = 0.842
 #: Bounds of the prior's strength in pseudo-pages.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1000.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,18 +79,20 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     all_mean = (F.col("all_bad") + 1) / (F.col("all_n") + 2)
     # the overall row is one aggregate of one row: its size is proven
     prior = of_suffix.crossJoin(F.broadcast(of_all)).withColumn("suffix_mean", (F.col("suffix_bad") + F.col("all_strength") * all_mean) / (F.col("suffix_n") + F.col("all_strength")))
-    prior = of_domain.join(prior.select("suffix", "suffix_mean", "suffix_strength"), "suffix").withColumn("domain_mean", (F.col("domain_bad") + F.col("suffix_strength") * F.col("suffix_mean")) / (F.col("domain_n") + F.col("suffix_strength")))
+    prior = of_domain.join(prior.select("suffix", "suffix_mean", "suffix_strength", all_mean.alias("overall")), "suffix").withColumn("domain_mean", (F.col("domain_bad") + F.col("suffix_strength") * F.col("suffix_mean")) / (F.col("domain_n") + F.col("suffix_strength")))
     a = F.col("bad") + F.col("domain_strength") * F.col("domain_mean")
     b = F.col("n") - F.col("bad") + F.col("domain_strength") * (1 - F.col("domain_mean"))
     mean = a / (a + b)
     deviation = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.join(prior.select("domain", "suffix", "domain_strength", "domain_mean"), ["domain", "suffix"]).select("host", "n", "bad", mean.alias("posterior"), F.greatest(F.lit(0.0), mean - Z * deviation).alias("lower_bound"))
+    return hosts.join(prior.select("domain", "suffix", "domain_strength", "domain_mean", "overall"), ["domain", "suffix"]).select("host", "n", "bad", mean.alias("posterior"), F.greatest(F.lit(0.0), mean - Z * deviation).alias("lower_bound"), "overall")
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, *, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", bad: Column | None = None, rules: Sequence[tuple[str, str, str]] = RULES, limit: float = LIMIT) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, *, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", bad: Column | None = None, rules: Sequence[tuple[str, str, str]] = RULES, limit: float | None = None) -> DataFrame:
     """Host, path, rule and verdict of every page.
 
     `labels` holds outcomes of pages by id; `bad` says which are bad (default: toxic).
+    A host is blocked if its lower bound is above `limit` (default: the bad share of all
+    labelled pages).
     A page whose host has no labelled page is allowed; null labels and outcomes are no
     evidence; a null url has an empty host and path; repeated rows each give a row.
     """
@@ -100,7 +104,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame, *, page_id: str = "page_id"
     marks = labels.select(F.col(label_id).alias("id"), bad.cast("int").alias("is_bad")).where("id is not null and is_bad is not null").groupBy("id").agg(F.max("is_bad").alias("is_bad"))
     # hosts first meet their outcomes one row a host and partition: a hot host is summed before it moves
     outcomes = seen.where("host <> ''").join(marks, F.col("page_id") == F.col("id")).groupBy("host").agg(F.sum("is_bad").cast("double").alias("bad"), F.count("*").cast("double").alias("n"))
-    known = reputation(outcomes).select(F.col("host").alias("known_host"), "posterior", "lower_bound")
+    known = reputation(outcomes).select(F.col("host").alias("known_host"), "posterior", "lower_bound", "overall")
     judged = seen.join(known, F.col("host") == F.col("known_host"), "left").drop("known_host")
-    verdict = F.coalesce("ruled", F.when(F.col("lower_bound") > limit, "block").otherwise("allow"))
+    above = F.col("lower_bound") > (F.col("overall") if limit is None else F.lit(float(limit)))
+    verdict = F.coalesce("ruled", F.when(above, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "posterior", "lower_bound")
