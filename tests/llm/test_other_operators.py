@@ -117,11 +117,6 @@ def test_main_text(spark):
     assert html_extract.extract(rows.limit(0)).count() == 0
 
 
-def test_tree_learns_its_table():
-    tree = html_extract.trained_tree()
-    assert all(tree.keeps(row[:-1]) == bool(row[-1]) for row in html_extract.LABELLED)
-
-
 def brute_targets(sizes, weights=(3, 1, 2)):
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[i % 3] for i, s in enumerate(order)}
