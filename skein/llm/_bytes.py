@@ -91,21 +91,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def words(buf: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of each maximal run of alphabet bytes."""
+    """(start, end, hash) of each maximal run of alphabet bytes; letters are widened a bounded piece at a time."""
     inside = alphabet[buf]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     start, end = edge[0::2], edge[1::2]
-    if not len(start):
-        return start, end, np.empty(0, U64)
+    h = np.empty(len(start), U64)
     size = end - start
-    first = np.zeros(len(size), np.int64)
-    np.cumsum(size[:-1], out=first[1:])
-    letters = buf[inside].astype(U64)
-    letters += U64(1)
-    place = np.arange(len(letters), dtype=np.int64)
-    place -= np.repeat(first, size)
-    letters *= _base_powers(int(size.max()) + 1)[place]
-    return start, end, mixed(np.add.reduceat(letters, first))
+    total = np.cumsum(size)
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CHUNK_BYTES, side="right")))
+        own = size[lo:hi]
+        first = np.zeros(len(own), np.int64)
+        np.cumsum(own[:-1], out=first[1:])
+        piece = slice(start[lo], end[hi - 1])
+        letters = buf[piece][inside[piece]].astype(U64)
+        letters += U64(1)
+        place = np.arange(len(letters), dtype=np.int64)
+        place -= np.repeat(first, own)
+        letters *= _base_powers(int(own.max()) + 1)[place]
+        h[lo:hi] = mixed(np.add.reduceat(letters, first))
+        lo = hi
+    return start, end, h
 
 
 def rows_of_words(word_starts: np.ndarray, text_starts: np.ndarray) -> np.ndarray:

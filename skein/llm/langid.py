@@ -2,9 +2,11 @@
 
 One model per language, over letters (lower-cased) and a single mark for any run of
 other characters.  The models are fitted on a bounded sample of labelled documents and
-stored together in sorted hash arrays with one column of log probabilities per
-language.  A text goes to the language of lowest cross-entropy per character; how far
-that entropy and the lead over the runner-up may stray is calibrated on the sample.
+stored in sorted hash arrays with one column of log probabilities per language, a
+bounded number of languages to a set; every label is learned, in as many sets as it
+takes.  A text goes to the language of lowest cross-entropy per character, and is
+rejected where that entropy lies above what documents of the language that were held
+out of a first fit have, by a margin that is wider for short texts.
 """
 
 from __future__ import annotations
@@ -21,8 +23,17 @@ from pyspark.sql import functions as F
 from ..session import bound_batches
 from . import _bytes as B
 
-#: The sample: documents per language that a model is fitted on, and languages that are learned (the commonest).
-FIT_DOCS, LANGUAGES = 400, 256
+#: The sample: documents of a language and of all languages together (one a language at least); longer ones (in characters) are
+#: taken only where a language has no others.
+FIT_DOCS, FIT_ALL, FIT_CHARS = 400, 25_600, 100_000
+#: Languages of one set of models.
+LANGUAGES = 64
+#: Rejection: entropies may lie MARGIN above the median of held-out documents, as a share of it, and SPREAD times the
+#: dispersion per symbol (the median of deviations times the root of the length) over the root of the text's length.
+#: Medians, as a few wrong labels must not lift the limit.
+MARGIN, SPREAD, HELD_OUT = 0.4, 9.0, 4
+#: Bytes of a text that are scored at once; longer texts are scored in pieces.
+PIECE = 1 << 20
 ORDER = 4
 UNDETERMINED = "und"
 DISCOUNT = 0.75
@@ -107,9 +118,9 @@ class SortedHash:
 class Models:
     """Interpolated Kneser-Ney models of all languages over shared keys."""
 
-    def __init__(self, texts: dict[str, list[str]]):
+    def __init__(self, texts: dict[str, list[str]], symbols: Symbols | None = None):
         self.languages = sorted(texts)
-        self.symbols = Symbols(Symbols.letters_of("".join(t for ts in texts.values() for t in ts)))
+        self.symbols = symbols or Symbols(Symbols.letters_of("".join(t for ts in texts.values() for t in ts)))
         self.size = int(self.symbols.table.max()) + 2
         counts = []
         for language in self.languages:
@@ -185,32 +196,54 @@ class Models:
         out[open_] -= np.float32(np.log(self.size + 1))
         return out
 
-    def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(nats per symbol of each text and language, letters of each text)."""
+    def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nats per symbol of each text and language, letters of each text, symbols of each text)."""
         s, starts, letters = self.symbols.encode(data, offsets)
         score = self.log_probabilities(s)
         score[starts] = 0  # the mark that opens a text says nothing
         sums = np.add.reduceat(score.astype(np.float64), starts[:-1], axis=0)
-        return -sums / np.maximum(np.diff(starts) - 1, 1)[:, None], letters
+        n = np.diff(starts) - 1
+        return -sums / np.maximum(n, 1)[:, None], letters, n
+
+    def entropies_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        return self.entropies(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
 
     def calibrate(self, texts: dict[str, list[str]]) -> None:
-        """Sharpness of the score and the rejection limit, from the sample's own entropies."""
-        rows, truth = [], []
+        """Sharpness of the score and the rejection limits, by documents held out of a first fit.
+
+        A language of which nothing can be held out takes the limits of all the others
+        together; where no language has any, the sample's own entropies serve.
+        """
+        held = {k: t[::HELD_OUT] for k, t in texts.items() if len(t) >= HELD_OUT}
+        first = Models({k: [x for i, x in enumerate(t) if k not in held or i % HELD_OUT] for k, t in texts.items()}, self.symbols) if held else self
+        rows, truth, sizes = [], [], []
         for j, language in enumerate(self.languages):
-            raw = [t.encode("utf-8", "replace") for t in texts[language]]
-            h, letters = self.entropies(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
-            rows.append(h[letters > 0])
-            truth.append(np.full(len(rows[-1]), j))
-        h, truth = np.concatenate(rows), np.concatenate(truth)
-        best, loss = 1.0, np.inf
+            own = (held if held else texts).get(language, [])
+            if own:
+                h, letters, n = first.entropies_of(own)
+                rows.append(h[letters > 0])
+                sizes.append(n[letters > 0])
+                truth.append(np.full(len(rows[-1]), j))
+        h, truth, n = np.concatenate(rows), np.concatenate(truth), np.concatenate(sizes)
+        self.sharpness, loss = 1.0, np.inf
         for sharp in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
             p = _softmax(h, sharp)[np.arange(len(h)), truth]
-            if (now := -np.log(np.maximum(p, 1e-12)).mean()) < loss:
-                best, loss = sharp, now
-        self.sharpness = best
+            if len(h) and (now := -np.log(np.maximum(p, 1e-12)).mean()) < loss:
+                self.sharpness, loss = sharp, now
         own = h[np.arange(len(h)), truth]
-        # a text is junk when no language explains it better than a uniform draw of letters would
-        self.limit = max(float(own.max()), float(np.log(self.size)))
+        self.level, self.spread = np.empty(len(self.languages)), np.empty(len(self.languages))
+        middles = np.array([np.median(own[truth == j]) if (truth == j).any() else 0.0 for j in range(len(self.languages))])
+        pooled = np.median(np.abs(own - middles[truth]) * np.sqrt(n)) if len(own) else 0.0
+        for j in range(len(self.languages)):
+            at = truth == j if (truth == j).any() else np.ones(len(truth), bool)
+            middle = np.median(own[at]) if at.any() else np.inf
+            deviation = np.abs(own[at] - middle) * np.sqrt(n[at])
+            self.level[j] = middle * (1 + MARGIN)
+            self.spread[j] = SPREAD * max(pooled, np.median(deviation) if at.any() else 0.0)
+
+    def limits(self, language: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        return self.level[language] + self.spread[language] / np.sqrt(np.maximum(symbols, 1))
 
 
 def _softmax(h: np.ndarray, sharp: float) -> np.ndarray:
@@ -218,54 +251,108 @@ def _softmax(h: np.ndarray, sharp: float) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train: Column | None = None, fit_docs: int = FIT_DOCS) -> Models | None:
-    """Models from at most `fit_docs` labelled documents of each language (null: none is labelled)."""
-    pool = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.length(text).alias("n"))
-    pool = pool.where((F.lit(True) if train is None else train) & F.col("lang").isNotNull() & (F.col("n") > 0))
-    # at most LANGUAGES rows
-    common = pool.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = pool.join(F.broadcast(common), "lang", "left_semi").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= fit_docs).select("doc_id").distinct()
-    # at most fit_docs ids of each of LANGUAGES languages
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang").collect()
+def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", train: Column | None = None, fit_docs: int = FIT_DOCS, languages: int = LANGUAGES) -> list[Models]:
+    """Sets of models of all labels, from a bounded sample of distinct texts of each (empty: none is labelled)."""
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    pool = slim.where((F.lit(True) if train is None else train) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    hashed = pool.select("lang", F.xxhash64("text").alias("h"), (F.length("text") > FIT_CHARS).alias("long"))
+    labels = max(1, hashed.agg(F.count_distinct("lang")).first()[0])
+    most = max(1, min(fit_docs, FIT_ALL // labels))
+    order = [F.col("long"), F.col("h")]
+    # the least hashes of each of 256 shares of a language, so that no task holds a language; then of their least
+    shares = Window.partitionBy("lang", "share").orderBy(*order)
+    least = hashed.withColumn("share", F.pmod("h", F.lit(256))).groupBy("lang", "share", "long", "h").agg(F.lit(1)).withColumn("rank", F.row_number().over(shares)).where(F.col("rank") <= most)
+    chosen = least.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= most).select("lang", "h")
+    # at most FIT_ALL rows, or one a language
+    found = pool.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     texts: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r.lang, r.text)):
+    for row in sorted(found, key=lambda r: (r.lang, r.h)):
         texts.setdefault(row.lang, []).append(row.text)
     if not texts:
-        return None
-    models = Models(texts)
-    models.calibrate(texts)
-    return models
-
-
-def _predictions(models: Models, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, language, score, entropy, rejected) chunk by chunk; language -1 is undetermined."""
+        return []
+    symbols = Symbols(Symbols.letters_of("".join(set().union(*(set(t) for ts in texts.values() for t in ts)))))
+    names, out = sorted(texts), []
+    for lo in range(0, len(names), languages):
+        own = {k: texts[k] for k in names[lo : lo + languages]}
+        models = Models(own, symbols)
+        models.calibrate(own)
+        out.append(models)
+    for models in out:
+        models.sharpness = out[0].sharpness
+    return out
+
+
+def _pieces(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, past the last, bytes, bounds of pieces): rows of at most PIECE bytes together, or one in pieces cut between characters."""
+    for lo, hi in B.row_chunks(off, PIECE):
+        part = data[off[lo] : off[hi]]
+        bounds = off[lo : hi + 1] - off[lo]
+        if hi == lo + 1 and len(part) > PIECE:
+            cuts = [0]
+            while len(part) - cuts[-1] > PIECE:
+                at = cuts[-1] + PIECE
+                while at > cuts[-1] + PIECE - 4 and part[at] & 0xC0 == 0x80:
+                    at -= 1
+                cuts.append(at)
+            bounds = np.array([*cuts, len(part)], np.int64)
+        yield lo, hi, part, bounds
+
+
+def _entropies(models: Models, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, nats per symbol, letters, symbols) of whole texts, chunk by chunk."""
+    for lo, hi, part, bounds in _pieces(data, off):
+        if len(bounds) - 1 == hi - lo:
+            yield lo, *models.entropies(part, bounds)
+            continue
+        sums, letters, n = np.zeros((1, len(models.languages))), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            h, more, size = models.entropies(part[a:b], np.array([0, b - a], np.int64))
+            sums, letters, n = sums + h * size, letters + more, n + size
+        yield lo, sums / np.maximum(n, 1), letters, n
+
+
+def _predictions(sets: list[Models], column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, language, score, entropy, rejected) chunk by chunk; language -1 is undetermined.
+
+    The sets score a chunk one after another; only the best of each goes on.
+    """
     data, off = B.buffer_of(column)
-    for lo, hi in B.row_chunks(off, B.CHUNK_BYTES // 2):
-        h, letters = models.entropies(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-        best = h.argmin(axis=1)
-        score = _softmax(h, models.sharpness)[np.arange(len(h)), best]
-        own = h[np.arange(len(h)), best]
+    sharp = sets[0].sharpness
+    first = np.cumsum([0, *[len(m.languages) for m in sets]])
+    for rows in zip(*(_entropies(m, data, off) for m in sets), strict=True):
+        best = own = rest = limit = None
+        for k, (m, (lo, h, letters, n)) in enumerate(zip(sets, rows, strict=True)):
+            at = h.argmin(axis=1)
+            low = h[np.arange(len(h)), at]
+            weight = np.log(np.exp(-sharp * (h - low[:, None])).sum(axis=1)) - sharp * low
+            if best is None:
+                best, own, rest, limit = at, low, weight, m.limits(at, n)
+            else:
+                less = low < own
+                best, own, limit = np.where(less, first[k] + at, best), np.where(less, low, own), np.where(less, m.limits(at, n), limit)
+                rest = np.logaddexp(rest, weight)
         none = letters == 0
-        yield lo, np.where(none, -1, best), np.where(none, 0.0, score), own, none | (own > models.limit)
+        score = np.minimum(1.0, np.exp(-sharp * own - rest))
+        yield lo, np.where(none, -1, best), np.where(none, 0.0, score), own, none | (own > limit)
 
 
-def identify(docs: DataFrame, models: Models | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, models: list[Models], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Language, score, cross-entropy and rejection of every document.
 
     `und` with score 0 (and rejected) if the text is null, empty or has no letters, or
     if there are no models; of equal languages the first by name; repeated rows each
-    give a row.
+    give a row.  A text above PIECE bytes is scored piece by piece, each as if it began
+    a text.
     """
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    if models is None:
+    if not models:
         return slim.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("entropy"), F.lit(True).alias("rejected"))
     bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(models))
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(shipped.value)
-        names = np.array([*own.languages, UNDETERMINED], object)
+        names = np.array([*(x for m in own for x in m.languages), UNDETERMINED], object)
         for batch in batches:
             for lo, best, score, entropy, rejected in _predictions(own, batch.column(1)):
                 yield pa.record_batch([batch.column(0).slice(lo, len(best)), pa.array(names[best], pa.string()), pa.array(score), pa.array(entropy), pa.array(rejected)], ["doc_id", "lang_pred", "score", "entropy", "rejected"])
@@ -274,9 +361,9 @@ def identify(docs: DataFrame, models: Models | None, *, doc_id: str = "doc_id",
     return slim.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double, entropy double, rejected boolean")
 
 
-def drop_rejected(docs: DataFrame, models: Models | None, *, text: str = "text") -> DataFrame:
+def drop_rejected(docs: DataFrame, models: list[Models], *, text: str = "text") -> DataFrame:
     """docs, whole and unchanged, without those whose language is rejected."""
-    if models is None:
+    if not models:
         return docs.where(F.lit(False))
     bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(models))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, induced_sort, langid, license_scan, lm_score, neardup, suffix_dedup
+from skein.llm import decontaminate, induced_sort, license_scan, lm_score, neardup, suffix_dedup
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 SCHEMA = "doc_id bigint, text string, lang string, source string, score string"
@@ -178,31 +178,6 @@ def test_winnowing_meets_every_window():
     assert all(at[i] == i + int(np.argmin(f[i : i + 6])) for i in range(len(at)))
 
 
-def test_language_models_sum_to_one_and_hold_out(spark):
-    de, en = [prose(i, 60).replace("th", "sch") for i in range(40)], [prose(i + 100, 60) for i in range(40)]
-    models = langid.Models({"de": de, "en": en})
-    models.calibrate({"de": de, "en": en})
-    s = np.array([0, 3, 4, 5], np.uint16)
-    total = np.zeros(2)
-    for symbol in range(models.size + 1):
-        total += np.exp(models.log_probabilities(np.append(s, np.uint16(symbol)))[-1])
-    assert total == pytest.approx([1, 1], abs=1e-3)
-    rows = [(1, prose(300, 50).replace("th", "sch")), (2, prose(301, 50)), (3, None), (4, "12 34 !!"), (5, ""), (6, "Ωμέγα και άλφα και βήτα " * 20), (7, "𝒳 " * 3)]
-    got = {r.doc_id: r for r in langid.identify(corpus(spark, rows), models).collect()}
-    assert [got[i].lang_pred for i in range(1, 6)] == ["de", "en", "und", "und", "und"]
-    assert all(0 <= r.score <= 1 for r in got.values()) and got[6].rejected and not got[1].rejected and not got[2].rejected
-    kept = langid.drop_rejected(corpus(spark, rows), models)
-    assert {1, 2} <= {r.doc_id for r in kept.collect()} and 6 not in {r.doc_id for r in kept.collect()}
-    assert langid.identify(corpus(spark, []), models).count() == 0
-    assert langid.fit(corpus(spark, rows)) is None and langid.identify(corpus(spark, rows), None).where("lang_pred <> 'und'").count() == 0
-
-
-def test_language_fit_ignores_held_out(spark):
-    rows = spark.createDataFrame([(i, prose(i, 30), "xx" if i % 2 else None) for i in range(30)], "doc_id bigint, text string, lang string")
-    assert langid.fit(rows, train=F.col("doc_id") % 2 == 0) is None
-    assert langid.fit(rows, fit_docs=3).languages == ["xx"]
-
-
 def test_word_baseline_and_counts(spark):
     rows = [(i, prose(i % 17, 30)) for i in range(60)] + [(60, None), (61, ""), (62, "The THE the\x0bthe"), (7, prose(7, 30)), (63, "unseen-word-ß"), (64, "é" * 3000)]
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
