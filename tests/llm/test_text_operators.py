@@ -144,8 +144,8 @@ def brute_hits(rows, items, window=10):
     for name, text in items:
         w = words(text)
         size = min(window, len(w))
-        for i in range(len(w) - size + 1) if size and name is not None else ():
-            windows.setdefault(tuple(w[i : i + size]), set()).add(str(name))
+        for i in range(len(w) - size + 1) if size else ():
+            windows.setdefault(tuple(w[i : i + size]), set()).update([str(name)] if name is not None else [])
     out = {}
     for d, text in rows:
         w, hit, found = words(text), set(), set()
@@ -158,15 +158,22 @@ def brute_hits(rows, items, window=10):
     return out
 
 
-def test_decontamination_equals_brute_force(spark):
+def test_decontamination_equals_brute_force(spark, monkeypatch):
     items = [(1, prose(7, 40)), (2, prose(8, 25)), (3, "Two words"), (4, ""), (5, None), (None, prose(9, 30)), (6, prose(7, 40)), (7, "x x x x x x x x x x x x")]
-    rows = [(1, prose(10, 30) + " " + prose(7, 40) + " end"), (2, prose(8, 25).upper()), (3, "say TWO, words!"), (4, None), (5, ""), (6, "x " * 40), (7, " ".join(prose(7, 40).split()[5:14])), (8, prose(7, 40).replace(" ", "-"))]
+    rows = [(1, prose(10, 30) + " " + prose(7, 40) + " end"), (2, prose(8, 25).upper()), (3, "say TWO, words!"), (4, None), (5, ""), (6, "x " * 40), (7, " ".join(prose(7, 40).split()[5:14])), (8, prose(7, 40).replace(" ", "-")), (9, prose(9, 30)), (10, f"{prose(9, 30)} {prose(8, 25)}"), (1, prose(7, 40)), (None, prose(8, 25)), (11, prose(7, 40)), (11, "clean")]
+    rows = [r for i, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:i]}]
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    for block in (10, 1 << 20):
-        report = decontaminate.decontamination_report(corpus(spark, rows), benchmark, block_windows=block)
-        assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in report.collect()} == brute_hits(rows, items)
-    clean = decontaminate.drop_contaminated(corpus(spark, rows), benchmark)
-    assert {r.doc_id for r in clean.collect()} == {d for d, (_, n, _) in brute_hits(rows, items).items() if not n}
+    for bits, most in ((26, 1 << 20), (7, 0)):  # a filter that lets everything pass; a join by shuffle
+        monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+        report = decontaminate.decontamination_report(corpus(spark, rows), benchmark).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in report} == brute_hits(rows, items)
+        assert all(sum(s.last_word - s.first_word + 1 for s in r.spans) == r.n_hit for r in report)
+        clean = decontaminate.drop_contaminated(corpus(spark, rows), benchmark)
+        assert clean.columns == corpus(spark, rows).columns
+        assert {r.doc_id for r in clean.collect()} == {d for d, (_, n, _) in brute_hits(rows, items).items() if not n}
+    again = decontaminate.decontamination_report(corpus(spark, [(1, prose(7, 40)), (1, prose(7, 40)), (1, "clean"), (2, "word " * 500_000 + prose(8, 25))]), benchmark).collect()
+    assert sorted((r.doc_id, r.n_hit) for r in again) == [(1, 0), (1, 40), (1, 40), (2, 25)]
     assert decontaminate.decontamination_report(corpus(spark, rows), benchmark.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.decontamination_report(corpus(spark, []), benchmark).count() == 0
 
