@@ -1,10 +1,11 @@
 """Exact top-k search by exhaustive term-at-a-time accumulation.
 
 Vectors become integer weights per dimension (term).  Queries are sparse rows in blocks
-of bounded number; every block goes to all candidates.  Within a batch of candidates
-each term has a posting list of the candidates with a weight there; the queries that
-hold the term scatter weight times weight into a dense array of scores.  A partition
-selection keeps the best of each batch, and the batches' bests are merged.
+of a bounded number of weights; every block goes to all candidates, a strip of queries
+at a time.  Within a batch of candidates each term has a posting list of the candidates
+with a weight there; the queries that hold the term scatter weight times weight into a
+dense array of scores.  A partition selection keeps the best of each batch, and the
+batches' bests are merged.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of one block (a broadcast of QUERY_BLOCK x dimensions numbers), and candidates scored at once.
-QUERY_BLOCK, BATCH = 2048, 2048
+#: Weights of the queries of one block (a broadcast of 32 MB), and queries and candidates scored at once.
+BLOCK_WEIGHTS, STRIP, BATCH = 1 << 22, 2048, 2048
 SCALE = 256.0
 _RESULT = "query_id bigint, vec_id bigint, score bigint"
 _LONG = (1 << 63) - 1
@@ -102,12 +103,12 @@ def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vecto
     spark = vectors.sparkSession
     slim = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).alias("vector")).where("vec_id is not null")
     asked = slim.where(is_query)
-    total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
+    weights = asked.agg(F.sum(F.greatest(F.size("vector"), F.lit(1)).cast("bigint"))).first()[0] or 0
+    blocks = max(1, -(-weights // BLOCK_WEIGHTS))
     found = None
     for block in range(blocks):
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        table = own.toArrow()  # about QUERY_BLOCK rows
+        table = own.toArrow()  # about BLOCK_WEIGHTS numbers
         if not table.num_rows:
             continue
         rows, weights = weights_of(table["vector"])
@@ -116,10 +117,13 @@ def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vecto
         ids = table["vec_id"].to_numpy()[rows]
         order = sorted(range(len(ids)), key=lambda i: (ids[i], weights[i].tolist()))
         once = [i for n, i in enumerate(order) if not n or ids[order[n - 1]] != ids[i]]
-        shipped = spark.sparkContext.broadcast(pickle.dumps((ids[once], [weights[i] for i in once])))
+        length = np.array([len(weights[i]) for i in once], np.int64)
+        shipped = spark.sparkContext.broadcast(pickle.dumps((ids[once], length, np.concatenate([weights[i] for i in once]))))
 
         def search(batches: Iterable[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            query_ids, queries = pickle.loads(shipped.value)
+            all_ids, length, flat = pickle.loads(shipped.value)
+            all_queries = np.split(flat, np.cumsum(length)[:-1])
+            strips = [(all_ids[a : a + STRIP], all_queries[a : a + STRIP]) for a in range(0, len(all_ids), STRIP)]
             best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for batch in batches:
                 rows, weights = weights_of(batch.column(1))
@@ -127,19 +131,21 @@ def top_k(vectors: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vecto
                 order = np.argsort(ids, kind="stable")
                 for lo in range(0, len(order), BATCH):
                     part = order[lo : lo + BATCH]
-                    scores = accumulate(queries, [weights[i] for i in part])
-                    # one column an id, of its highest score: copies take no places
+                    candidates = [weights[i] for i in part]
                     names, first = np.unique(ids[part], return_index=True)
-                    if len(names) < len(part):
-                        scores = np.maximum.reduceat(scores, first, axis=1)
-                    # one more than k: the query's own row may be among them
-                    own = np.isin(names, query_ids).any()
-                    column = best_of(scores, min(k + int(own), len(names)))
-                    query = np.repeat(np.arange(len(queries)), column.shape[1])
-                    vec = names[column.ravel()]
-                    keep = vec != query_ids[query]
-                    value = np.take_along_axis(scores, column, axis=1).ravel()[keep]
-                    best.append((query_ids[query[keep]], vec[keep], value))
+                    for query_ids, queries in strips:
+                        scores = accumulate(queries, candidates)
+                        # one column an id, of its highest score: copies take no places
+                        if len(names) < len(part):
+                            scores = np.maximum.reduceat(scores, first, axis=1)
+                        # one more than k: the query's own row may be among them
+                        own = np.isin(names, query_ids).any()
+                        column = best_of(scores, min(k + int(own), len(names)))
+                        query = np.repeat(np.arange(len(queries)), column.shape[1])
+                        vec = names[column.ravel()]
+                        keep = vec != query_ids[query]
+                        value = np.take_along_axis(scores, column, axis=1).ravel()[keep]
+                        best.append((query_ids[query[keep]], vec[keep], value))
                 if sum(len(b[0]) for b in best) > 1 << 20:
                     best = [_merged(best, k)]
             if best:

@@ -28,7 +28,8 @@ def search(spark, rows):
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "BLOCK_WEIGHTS", 17)
+    monkeypatch.setattr(topk, "STRIP", 2)
     monkeypatch.setattr(topk, "BATCH", 40)
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in np.where(rng.random(8) < 0.4, 0, rng.normal(size=8))]) for i in range(300)]

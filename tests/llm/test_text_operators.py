@@ -135,7 +135,31 @@ def test_near_duplicates_edges(spark):
     assert got == sorted([(2, 1, False), (1, 1, True), (1, 1, True), (None, None, True), (7, 7, True)], key=str)
     kept = neardup.keep_one(corpus(spark, rows), k=2)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 7, None] and kept.columns == ["doc_id", "text", "lang", "source", "score"]
-    assert neardup.near_duplicates(corpus(spark, [])).count() == 0
+    assert neardup.near_duplicates(corpus(spark, [])).count() == 0 and neardup.keep_one(corpus(spark, [])).count() == 0
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    x, y, z = prose(1, 30), prose(2, 30), prose(3, 30)
+    rows = [(1, x), (2, x), (2, y), (3, z), (3, prose(4, 30)), (4, z + " more"), (5, ""), (5, "")]
+    docs = corpus(spark, rows).withColumnRenamed("lang", "k0").withColumnRenamed("source", "_k0").withColumn("_gone", F.lit(1))
+    kept = neardup.keep_one(docs, k=2)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(1, x), (2, y), (3, z), (3, prose(4, 30)), (5, ""), (5, "")])
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs, k=2).collect()}
+    assert {(i, c) for i, _, c in got} == {(1, 1), (2, 1), (2, 2), (3, 3), (4, 3), (5, 5)}
+
+
+def test_torn_families_are_checked_across_blocks(spark, monkeypatch):
+    """Chains: neighbours are alike, ends are not, so no single member links its family."""
+    monkeypatch.setattr(neardup, "FAMILY_BLOCK", 4)
+    rows = []
+    for chain in range(3):
+        words = prose(500 + chain, 100).split()
+        for i in range(20):
+            words[(7 * i) % 100 : (7 * i) % 100 + 4] = [f"n{chain}x{i}x{j}" for j in range(4)]
+            rows.append((100 * chain + i, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(corpus(spark, rows), k=2).collect()}
+    assert got == brute_components(rows, 2)
 
 
 def brute_hits(rows, items, window=10):
@@ -171,6 +195,7 @@ def test_decontamination_equals_brute_force(spark, monkeypatch):
         assert all(sum(s.last_word - s.first_word + 1 for s in r.spans) == r.n_hit for r in report)
         clean = decontaminate.drop_contaminated(corpus(spark, rows), benchmark)
         assert clean.columns == corpus(spark, rows).columns
+        assert decontaminate.drop_contaminated(corpus(spark, rows).withColumnRenamed("lang", "d1").withColumnRenamed("source", "_d2"), benchmark).columns == ["doc_id", "text", "d1", "_d2", "score"]
         assert {r.doc_id for r in clean.collect()} == {d for d, (_, n, _) in brute_hits(rows, items).items() if not n}
     again = decontaminate.decontamination_report(corpus(spark, [(1, prose(7, 40)), (1, prose(7, 40)), (1, "clean"), (2, "word " * 500_000 + prose(8, 25))]), benchmark).collect()
     assert sorted((r.doc_id, r.n_hit) for r in again) == [(1, 0), (1, 40), (1, 40), (2, 25)]
