@@ -259,9 +259,9 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     labels = max(1, hashed.agg(F.count_distinct("lang")).first()[0])
     most = max(1, min(fit_docs, FIT_ALL // labels))
     order = [F.col("long"), F.col("h")]
-    # the least hashes of each of 256 shares of a language, so that no task holds a language; then of their least
+    # the least hashes of each of 16 shares of a language, so that no task holds a language; then of their least
     shares = Window.partitionBy("lang", "share").orderBy(*order)
-    least = hashed.withColumn("share", F.pmod("h", F.lit(256))).groupBy("lang", "share", "long", "h").agg(F.lit(1)).withColumn("rank", F.row_number().over(shares)).where(F.col("rank") <= most)
+    least = hashed.withColumn("share", F.pmod("h", F.lit(16))).groupBy("lang", "share", "long", "h").agg(F.lit(1)).withColumn("rank", F.row_number().over(shares)).where(F.col("rank") <= most)
     chosen = least.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= most).select("lang", "h")
     # at most FIT_ALL rows, or one a language
     found = pool.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
