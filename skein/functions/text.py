@@ -7,6 +7,7 @@ otherwise.  Null and empty text are the same value throughout.
 from __future__ import annotations
 
 import difflib
+import re
 from collections.abc import Iterable, Mapping, Sequence
 
 import pandas as pd
@@ -329,9 +330,9 @@ def article_identity(url: Column, title: Column, source: Column) -> Column:
 
 
 def keyword_hit(text: Column, keyword: str) -> Column:
-    """ASCII keywords match as whole words, others anywhere; text is lower-cased first."""
+    """Keywords with a Latin letter match as whole words, others anywhere; text is lower-cased first."""
     low = F.lower(text_of(text))
-    if keyword.isascii():
+    if re.search("[a-z]", keyword.lower()):
         return low.rlike(rf"(?U)\b{escape_regex(keyword.lower())}\b")
     return F.contains(low, F.lit(keyword.lower()))
 

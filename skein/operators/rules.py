@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Weights of an event's status.
-STATUS_WEIGHTS = {"completed": 1.5, "signed": 1.5, "approved": 1.0, "announced": 0.5, "planned": 0.5, "reported": 0.25, "unconfirmed": 0.0}
-
-
 @dataclass(frozen=True)
 class Relevance:
     """Lexicons of the relevance cascade; each list in the order that decides reasons."""
@@ -112,6 +108,7 @@ class Taxonomy:
     groups: Mapping[str, Sequence[str]] = field(default_factory=dict)
     watchlist: Sequence[str] = ()
     statuses: Sequence[tuple[str, str]] = ()
+    weights: Mapping[str, float] = field(default_factory=dict)
     penalties: Sequence[tuple[str, float]] = ()
     fallback: str = "general"
 
@@ -127,32 +124,30 @@ def matched_groups(text: Column, groups: Mapping[str, Sequence[str]]) -> Column:
     return F.array_compact(F.array(*named)) if named else F.array().cast("array<string>")
 
 
-def event_status(title: Column, text: Column, statuses: Sequence[tuple[str, str]], unconfirmed: str | None = None) -> Column:
-    """First status in the title, else in the text, else `reported`; doubt words make it unconfirmed."""
-    found = F.coalesce(T.first_match(title, statuses), T.first_match(text, statuses), F.lit("reported"))
-    return found if unconfirmed is None else F.when(text.rlike(unconfirmed), "unconfirmed").otherwise(found)
-
-
 def classify(rows: DataFrame, title: str, text: str, taxonomy: Taxonomy, priority: Column | None = None, excluded: Column | None = None) -> DataFrame:
-    """category, category_reason, groups, status and relevance of each row.
+    """category, category_reason, groups, status and relevance of each row, by keywords alone.
 
-    The category with most hits wins, the first in lexicon order of equals.  Score: source
-    priority + hits + 2.5 a watchlist word - penalties + 2 a group + the status weight,
-    at least 0, and 0 where excluded.
+    The category with most hits wins, the first in lexicon order of equals; the ordered
+    decision is `classifier.classify_articles`.  Score: source priority + hits + 2.5 a
+    watchlist word - penalties + 2 a group + the taxonomy's weight of the status, at least
+    0, and 0 where excluded.
     """
-    body = F.lower(T.text_of(text))
-    out = rows.withColumn("_hits", F.array(*[F.struct(F.size(T.hits(body, words)).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, words) in enumerate(taxonomy.categories.items())]))
-    out = out.withColumn("_best", F.array_max("_hits")).withColumn("groups", matched_groups(body, taxonomy.groups)).withColumn("status", event_status(F.lower(T.text_of(title)), body, taxonomy.statuses))
-    weight = F.create_map(*[F.lit(x) for pair in STATUS_WEIGHTS.items() for x in pair])[F.col("status")]
+    from . import classifier as K
+
+    out = rows.withColumn("_low", F.lower(T.text_of(text))).withColumn("_words", K.word_set(F.col("_low")))
+    words, low = F.col("_words"), F.col("_low")
+    hits = [F.struct(K.count_hits(words, low, ks).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, ks) in enumerate(taxonomy.categories.items())]
+    status, _ = K.event_state(F.lower(T.text_of(title)), low, taxonomy.statuses, ())
     penalty = F.lit(0.0)
     for word, cost in taxonomy.penalties:
-        penalty = penalty + F.when(T.keyword_hit(body, word), cost).otherwise(0.0)
-    watch = F.size(T.hits(body, taxonomy.watchlist)) if taxonomy.watchlist else F.lit(0)
-    score = (F.lit(0.0) if priority is None else priority) + F.col("_best.n") + 2.5 * watch - penalty + 2.0 * F.size("groups") + F.coalesce(weight, F.lit(0.0))
+        penalty = penalty + F.when(K.any_hit(words, low, (word,)), cost).otherwise(0.0)
+    out = out.withColumns({"_best": F.array_max(F.array(*hits)), "groups": K.group_hits(words, low, taxonomy.groups), "status": status, "_penalty": penalty, "_watch": K.count_hits(words, low, taxonomy.watchlist)})
+    weight = F.create_map(*[F.lit(x) for pair in taxonomy.weights.items() for x in pair])[F.col("status")] if taxonomy.weights else F.lit(0.0)
+    score = (F.lit(0.0) if priority is None else priority) + F.col("_best.n") + 2.5 * F.col("_watch") - F.col("_penalty") + 2.0 * F.size("groups") + F.coalesce(weight, F.lit(0.0))
     score = F.greatest(score, F.lit(0.0))
     out = out.withColumn("relevance", score if excluded is None else F.when(excluded, 0.0).otherwise(score))
     out = out.withColumn("category", F.when(F.col("_best.n") > 0, F.col("_best.name")).otherwise(taxonomy.fallback))
-    return out.withColumn("category_reason", F.when(F.col("_best.n") > 0, "keyword_hits").otherwise("fallback")).drop("_hits", "_best")
+    return out.withColumn("category_reason", F.when(F.col("_best.n") > 0, "keyword_hits").otherwise("fallback")).drop("_low", "_words", "_best", "_penalty", "_watch")
 
 
 def additive_score(terms: Sequence[tuple[str, Column, float]]) -> tuple[Column, Column]:
@@ -178,11 +173,23 @@ def apply_verdicts(rows: DataFrame, verdicts: DataFrame, id: str = "ord", locked
 
 
 def judge_batches(rows: DataFrame, size: int = 80) -> DataFrame:
-    """Batch number of each row, `size` rows a batch, in input order within a range partition."""
-    ordered = rows.repartitionByRange(F.col("ord")).withColumn("_p", F.spark_partition_id())
+    """Batch number of each row: `size` rows a batch, in input order.
+
+    Ranks come from a range-partitioned sort and the counts of its partitions, so neither
+    they nor the batches depend on the number of tasks.
+    """
     from pyspark.sql import Window
 
-    return ordered.withColumn("batch", F.concat_ws("-", "_p", F.floor((F.row_number().over(Window.partitionBy("_p").orderBy("ord")) - 1) / size).cast("string"))).drop("_p")
+    from ..session import cut
+
+    ordered = cut(rows.repartitionByRange(F.col("ord")).withColumn("_p", F.spark_partition_id()))
+    before, offsets = 0, []
+    for part, n in sorted((r[0], r[1]) for r in ordered.groupBy("_p").count().collect()):  # one row a partition
+        offsets += [F.lit(part), F.lit(before)]
+        before += n
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy("ord")) - 1
+    at = inside + (F.create_map(*offsets)[F.col("_p")] if offsets else F.lit(0))
+    return ordered.withColumn("batch", F.floor(at / size).cast("bigint")).drop("_p")
 
 
 def promotions(importance: Column, score: Column, strength: Column) -> tuple[Column, Column]:

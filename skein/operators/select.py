@@ -80,43 +80,44 @@ def round_robin(rows: DataFrame, group: str, order: Sequence[Column], k: int, pe
     return dealt.withColumn("place", F.row_number().over(Window.orderBy("round", F.col(group).asc_nulls_last(), F.col("ord")))).where(F.col("place") <= k)
 
 
-def theme_pool(rows: DataFrame, group: Sequence[str], theme: str, source: str, score: str, per_theme: int = 3, source_cap: int = 2, k: int = 12) -> DataFrame:
-    """Round robin over themes with a running cap a source, then filled by score.
-
-    The caps depend on all earlier choices; a group is first cut to the rows that can be
-    chosen (per_theme * source share), then walked in one task.
+def theme_pool(rows: DataFrame, group: Sequence[str], theme: str, source: str, score: str, per_theme: int = 3, source_cap: int = 2, k: int = 12, prefer: Column | None = None) -> DataFrame:
+    """Round robin over themes, then filled in order, with a running cap a source.
+
+    The i-th row of each theme is offered in turn, i up to `per_theme`, and passed over
+    where it has been chosen or its source is full; then all rows are offered by `prefer`
+    and score.  `theme` is a name or an array of names.  Choices depend on those before,
+    so a group is walked in one task, over no more rows than can be offered: `per_theme` a
+    theme, and of the rest those a walk of k choices can reach (a row is passed over only
+    for its source, of which no more than source_cap + k rows are held, and at most k
+    sources are full).
     """
     import pandas as pd
 
-    short = ranked(ranked(rows, [*group, theme], [F.desc(score)], "_t"), [*group, source], [F.desc(score)], "_s")
-    short = short.where((F.col("_s") <= k) & (F.col("_t") <= k * source_cap * 8))
+    first = F.lit(0) if prefer is None else F.when(prefer, 0).otherwise(1)
+    own = rows.withColumn("_first", first).withColumn("_themes", F.col(theme) if dict(rows.dtypes)[theme].startswith("array") else F.when(F.col(theme).isNotNull(), F.array(theme)))
+    order = [F.col("_first"), F.desc(score)]
+    offered = ranked(own.select(*group, "ord", "_first", score, F.explode("_themes").alias("_theme")), [*group, "_theme"], order, "_t").where(F.col("_t") <= per_theme)
+    turns = offered.groupBy(*group, "ord").agg(F.collect_list(F.struct("_t", "_theme")).alias("_turns"))
+    reach = ranked(ranked(own, [*group, source], order, "_s").where(F.col("_s") <= source_cap + k), group, order, "_r").where(F.col("_r") <= k + k * (source_cap + k))
+    by = lambda other: (F.col("r.ord") == F.col(f"{other}.ord"))
+    met = own.alias("r").join(turns.select("ord", "_turns").alias("t"), by("t"), "left").join(reach.select("ord", F.lit(True).alias("_reach")).alias("f"), by("f"), "left")
+    short = met.where("_turns IS NOT NULL OR _reach").select(*[f"r.{g}" for g in group], "r.ord", F.col(f"r.{source}").alias("_source"), "r._first", F.col(f"r.{score}").alias("_score"), "_turns")
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([score, "ord"], ascending=[False, True])
+        part = part.sort_values(["_first", "_score", "ord"], ascending=[True, False, True])
+        named = list(part.itertuples(index=False, name=None))
+        columns = {c: i for i, c in enumerate(part.columns)}
+        at = lambda row, c: row[columns[c]]
+        turns = sorted((t["_t"], t["_theme"], n) for n, row in enumerate(named) if at(row, "_turns") is not None for t in at(row, "_turns"))
         chosen, used = [], {}
-        queues = {t: list(g.itertuples()) for t, g in part.groupby(theme, sort=True)}
-        taken = {t: 0 for t in queues}
-        moved = True
-        while moved and len(chosen) < k:
-            moved = False
-            for t, queue in queues.items():
-                while queue and taken[t] < per_theme and len(chosen) < k:
-                    row = queue.pop(0)
-                    if used.get(getattr(row, source), 0) < source_cap:
-                        used[getattr(row, source)] = used.get(getattr(row, source), 0) + 1
-                        taken[t] += 1
-                        chosen.append(row.ord)
-                        moved = True
-                        break
-        for row in part.itertuples():
-            if len(chosen) >= k:
-                break
-            if row.ord not in chosen and used.get(getattr(row, source), 0) < source_cap:
-                used[getattr(row, source)] = used.get(getattr(row, source), 0) + 1
-                chosen.append(row.ord)
-        out = part.set_index("ord").loc[chosen, list(group)].reset_index()
+        for n in [*(t[2] for t in turns), *range(len(named))]:
+            s = at(named[n], "_source")
+            if len(chosen) < k and n not in chosen and used.get(s, 0) < source_cap:
+                chosen.append(n)
+                used[s] = used.get(s, 0) + 1
+        out = part.iloc[chosen][[*group, "ord"]].copy()
         out["place"] = range(1, len(chosen) + 1)
-        return out[[*group, "ord", "place"]]
+        return out
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"{g} {kinds[g]}" for g in group), f"ord {kinds['ord']}", "place int"])

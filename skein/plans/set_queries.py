@@ -56,35 +56,6 @@ def rare_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.token_pairs(_tokens(spark, sf_dir))
 
 
-@query(_TOKENS + """, d AS (SELECT token, count(*) AS df FROM tt GROUP BY token HAVING count(*) BETWEEN 2 AND 50), n AS (SELECT count(DISTINCT ord) AS n FROM tt),
-w AS (SELECT ord, token, ln((1 + n) / (1 + df)) + 1 AS w FROM tt JOIN d USING (token), n), l AS (SELECT ord, sqrt(sum(w * w)) AS l FROM w GROUP BY ord), x AS (SELECT ord, token, w / l AS w FROM w JOIN l USING (ord))
-SELECT a.ord AS i, b.ord AS j, round(sum(a.w * b.w), 6) AS sim FROM x a JOIN x b ON a.token = b.token AND a.ord < b.ord GROUP BY ALL HAVING sum(a.w * b.w) >= 0.3""")
-def tfidf_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine of TF-IDF rows over title words of document frequency 2 to 50."""
-    tokens = _tokens(spark, sf_dir)
-    n = tokens.select("ord").distinct().count()
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df BETWEEN 2 AND 50")
-    weighed = tokens.join(df, "token").withColumn("w", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
-    length = weighed.groupBy("ord").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    unit = weighed.join(length, "ord").select("ord", F.col("token").alias("gram"), (F.col("w") / F.col("l")).alias("w"))
-    return C.tfidf_pairs(unit).select("i", "j", F.round("sim", 6).alias("sim"))
-
-
-@query(_TOKENS + """, k AS (SELECT ord, list_distinct(list(token)) AS w, any_value(day) AS day FROM tt JOIN art USING (ord) GROUP BY ord),
-r AS (SELECT ord, token FROM tt WHERE token IN (SELECT token FROM tt GROUP BY token HAVING count(*) BETWEEN 2 AND 6)), p AS (SELECT DISTINCT a.ord AS i, b.ord AS j FROM r a JOIN r b ON a.token = b.token AND a.ord < b.ord)
-SELECT i, j, len(list_intersect(x.w, y.w)) >= 4 AND least(len(x.w), len(y.w)) >= 4 AND len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)) >= 0.65 AND abs(date_diff('day', x.day, y.day)) <= 1 AS same FROM p JOIN k x ON x.ord = i JOIN k y ON y.ord = j""")
-def pair_should_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headline rule on blocked pairs: near days, four and 65% of the fewer words in common."""
-    rows = articles(spark, sf_dir).select("ord", "day", T.headline_tokens(F.col("title")).alias("w"))
-    pairs = C.token_pairs(_tokens(spark, sf_dir)).select("i", "j")
-    side = lambda n, p: rows.select(F.col("ord").alias(n), F.col("day").alias(f"{p}_day"), F.col("w").alias(f"{p}_w"))
-    both = pairs.join(side("i", "a"), "i").join(side("j", "b"), "j")
-    gap = F.abs(F.datediff("a_day", "b_day"))
-    headline = C.same_headline((F.col("a_w"), F.col("b_w")), gap)
-    merged = C.should_merge(F.lit(0.0), F.lit(True), headline, F.lit(False), F.lit(False), F.lit(False))
-    return both.select("i", "j", merged.alias("same"))
-
-
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "embedding", "label")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as T
 from ..functions import values as V
+from ..operators import classifier as K
 from ..operators import joins as J
 from ..operators import rules as R
 from .registry import ART, EVENT, HOST, URL, articles, event_rows, query, table
@@ -18,7 +19,7 @@ GROUPS = {"early": ("heed", "onre"), "late": ("erst", "wh"), "abroad": ("que", "
 STOPWORDS = ("the", "and", "of", "der", "die", "les", "des")
 PARTICLES = ("ing", "ed", "er")
 RELEVANCE = R.Relevance(blacklist=("toxic", "thsh"), opinion_url=("/opinion/",), opinion_words=("onst",), hard=("ndre", "hahe"), soft=("licensed", "reserved"), rescue=("mit",), interest=("with", "from"), events=("avec", "und"), curated=("src1", "src2"))
-STATUSES = (("completed", r"(?U)\bthe\b"), ("planned", r"(?U)\bund\b"), ("announced", r"(?U)\ble\b"))
+STATUSES = (("confirmed", r"(?U)\bthe\b"), ("considering", r"(?U)\bund\b"), ("outlook", r"(?U)\ble\b"))
 _WORDS = r"list_distinct(list_filter(string_split_regex(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda w: length(w) >= 3))"
 
 
@@ -182,9 +183,9 @@ def relevance_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("ord", R.relevance_reason(F.col("title"), F.col("text"), F.lit(""), F.col("source"), RELEVANCE).alias("filter_reason"))
 
 
-@query(f"WITH {ART} SELECT ord, CASE WHEN {_sql_word('lower(title)', 'the')} THEN 'completed' WHEN {_sql_word('lower(title)', 'und')} THEN 'planned' WHEN {_sql_word('lower(title)', 'le')} THEN 'announced' WHEN {_sql_word('lower(text)', 'the')} THEN 'completed' WHEN {_sql_word('lower(text)', 'und')} THEN 'planned' WHEN {_sql_word('lower(text)', 'le')} THEN 'announced' ELSE 'reported' END AS status FROM art")
+@query(f"WITH {ART} SELECT ord, CASE WHEN {_sql_word('lower(title)', 'the')} THEN 'confirmed' WHEN {_sql_word('lower(title)', 'und')} THEN 'considering' WHEN {_sql_word('lower(title)', 'le')} THEN 'outlook' WHEN {_sql_word('lower(text)', 'the')} THEN 'confirmed' WHEN {_sql_word('lower(text)', 'und')} THEN 'considering' WHEN {_sql_word('lower(text)', 'le')} THEN 'outlook' ELSE 'unknown' END AS status FROM art")
 def ordered_status_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir).select("ord", R.event_status(F.lower("title"), F.lower("text"), STATUSES).alias("status"))
+    return articles(spark, sf_dir).select("ord", K.event_state(F.lower("title"), F.lower("text"), STATUSES, ())[0].alias("status"))
 
 
 def _score_sql() -> str:
@@ -192,14 +193,14 @@ def _score_sql() -> str:
     best = "greatest(" + ", ".join(f"n_{c}" for c in LEXICON) + ")"
     pick = " ".join(f"WHEN n_{c} = best THEN '{c}'" for c in LEXICON)
     groups = " + ".join(f"CAST({_sql_hit('t', words)} AS INTEGER)" for words in GROUPS.values())
-    status = f"CASE WHEN {_sql_word('tt', 'the')} THEN 1.5 WHEN {_sql_word('tt', 'und')} THEN 0.5 WHEN {_sql_word('tt', 'le')} THEN 0.5 WHEN {_sql_word('t', 'the')} THEN 1.5 WHEN {_sql_word('t', 'und')} THEN 0.5 WHEN {_sql_word('t', 'le')} THEN 0.5 ELSE 0.25 END"
+    status = f"CASE WHEN {_sql_word('tt', 'the')} THEN 1.5 WHEN {_sql_word('tt', 'und')} THEN 0.5 WHEN {_sql_word('tt', 'le')} THEN 0.25 WHEN {_sql_word('t', 'the')} THEN 1.5 WHEN {_sql_word('t', 'und')} THEN 0.5 WHEN {_sql_word('t', 'le')} THEN 0.25 ELSE 0 END"
     return f"""WITH {ART}, t AS (SELECT ord, lower(text) AS t, lower(title) AS tt FROM art), h AS (SELECT *, {', '.join(f'{sql} AS n_{c}' for c, sql in hits.items())} FROM t), b AS (SELECT *, {best} AS best FROM h)
 SELECT ord, CASE WHEN best = 0 THEN 'general' {pick} END AS category, CAST(greatest(best + 2.5 * CAST({_sql_word('t', 'mit')} AS INTEGER) - CASE WHEN {_sql_word('t', 'onst')} THEN 1.5 ELSE 0 END + 2 * ({groups}) + {status}, 0) AS DOUBLE) AS relevance FROM b"""
 
 
 @query(_score_sql())
 def classify_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taxonomy = R.Taxonomy(LEXICON, GROUPS, ("mit",), STATUSES, (("onst", 1.5),))
+    taxonomy = R.Taxonomy(LEXICON, GROUPS, ("mit",), STATUSES, K.STATUS_WEIGHTS, (("onst", 1.5),))
     return R.classify(articles(spark, sf_dir), "title", "text", taxonomy).select("ord", "category", "relevance")
 
 
@@ -260,16 +261,3 @@ def article_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN regexp_matches(query, '(^|&)page=') THEN '?' || regexp_extract(query, '(page=[^&]*)', 1) ELSE '' END END) END AS identity FROM u""")
 def identity_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.article_identity(F.col("url"), F.lit(""), F.lit("")).alias("identity"))
-
-
-@query()
-def sequence_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of titles that share rare words, with their sequence ratio (no SQL has it)."""
-    from ..operators import clusters as C
-
-    rows = articles(spark, sf_dir)
-    tokens = rows.select("ord", F.explode(T.headline_tokens(F.col("title"))).alias("token"))
-    pairs = C.token_pairs(tokens).where("shared >= 3")
-    left, right = rows.select(F.col("ord").alias("i"), F.col("title").alias("x")), rows.select(F.col("ord").alias("j"), F.col("title").alias("y"))
-    scored = pairs.join(left, "i").join(right, "j")
-    return scored.select("i", "j", F.round(T.sequence_ratio(F.col("x"), F.col("y")), 6).alias("ratio")).where("ratio >= 0.88")
