@@ -54,6 +54,26 @@ def unseen_titles(rows: DataFrame, seen: DataFrame, title: str = "title", seen_t
     return rows.join(told, id, "left_anti")
 
 
+def unseen_issues(rows: DataFrame, seen: DataFrame, *, title: str = "title", id: str = "ord", last: int | None = 800, share: float = 0.3, gram_level: float = 0.35, word_level: float = 0.5, letters: str = T.HANGUL) -> DataFrame:
+    """Rows whose issue none of the `last` seen titles (ord: age) tells.
+
+    Where either title has more than `share` of `letters`, character grams decide, else
+    words; pairs meet through an inverted index of either.
+    """
+    recent = seen if last is None else seen.orderBy(F.desc("ord")).limit(last)
+    heavy = lambda c: T.letter_ratio(F.col(c), letters) > share
+    a = rows.select(F.col(id).alias("a"), F.col(title).alias("x"), heavy(title).alias("hx"))
+    b = recent.select(F.col("ord").alias("b"), F.col(title).alias("y"), heavy(title).alias("hy"))
+    told = None
+    for elements, level, script in ((T.char_ngrams, gram_level, True), (T.word_tokens, word_level, False)):
+        left = a.select("a", "hx", elements(F.col("x")).alias("e")).select("a", "hx", F.size("e").alias("na"), F.explode("e").alias("w"))
+        right = b.select("b", "hy", elements(F.col("y")).alias("e")).select("b", "hy", F.size("e").alias("nb"), F.explode("e").alias("w"))
+        met = left.join(right, "w").where((F.col("hx") | F.col("hy")) if script else ~(F.col("hx") | F.col("hy")))
+        alike = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("k") / F.least("na", "nb") >= level).select("a")
+        told = alike if told is None else told.unionByName(alike)
+    return rows.join(told.distinct(), F.col(id) == F.col("a"), "left_anti")
+
+
 def recent_events(rows: DataFrame, memory: DataFrame, family: str, day: str, days: int = 7, status: str | None = None) -> DataFrame:
     """Split of rows by a memory of `days`: told (null: new) is the best status sent for the family.
 
@@ -61,8 +81,10 @@ def recent_events(rows: DataFrame, memory: DataFrame, family: str, day: str, day
     that were sent.  The memory is first reduced to one row a (family, day).
     """
     past = memory.groupBy(F.col(family).alias("_f"), F.col(day).alias("_d")).agg(F.max(status or F.lit(0)).alias("_s"))
-    met = rows.join(past, (F.col(family) == F.col("_f")) & F.col("_d").between(F.date_sub(F.col(day), days), F.date_sub(F.col(day), 1)), "left")
-    told = met.groupBy(*[F.col(c) for c in rows.columns]).agg(F.max("_s").alias("told"))
+    # by (family, day), so rows that repeat stay as many as they are
+    asked = rows.select(F.col(family).alias("_f"), F.col(day).alias("_day")).distinct()
+    met = asked.join(past, "_f").where(F.col("_d").between(F.date_sub("_day", days), F.date_sub("_day", 1))).groupBy("_f", "_day").agg(F.max("_s").alias("told"))
+    told = rows.join(met, (F.col(family) == F.col("_f")) & (F.col(day) == F.col("_day")), "left").drop("_f", "_day")
     new_status = F.lit(False) if status is None else (F.col(status) >= 2) & (F.col(status) > F.col("told"))
     return told.withColumn("kept", F.col("told").isNull() | new_status)
 
@@ -126,12 +148,15 @@ def suffix_match(rows: DataFrame, registry: DataFrame, host: str = "host", domai
 
 def sender_policy(rows: DataFrame, policies: DataFrame, address: str = "sender", subject: str = "subject") -> DataFrame:
     """Policy of a mail: exact address, else domain with an alias in the subject; the first policy wins."""
-    by_address = rows.join(small(policies.select(F.col("policy_ord").alias("o1"), F.col("address").alias("_a"))), F.lower(F.col(address)) == F.col("_a"), "left")
+    asked = rows.select(F.col(address).alias("_address"), F.col(subject).alias("_subject")).distinct()
+    by_address = asked.join(small(policies.select(F.col("policy_ord").alias("o1"), F.col("address").alias("_a"))), F.lower("_address") == F.col("_a"), "left")
     # an equi-join on the domain; the alias is a residual condition
-    host = F.lower(F.substring_index(F.col(address), "@", -1))
+    host = F.lower(F.substring_index("_address", "@", -1))
     side = policies.select(F.col("policy_ord").alias("o2"), F.col("domain").alias("_d"), F.col("alias").alias("_alias"))
-    by_domain = by_address.join(small(side), (host == F.col("_d")) & F.contains(F.lower(F.col(subject)), F.lower(F.col("_alias"))), "left")
-    return by_domain.groupBy(*[F.col(c) for c in rows.columns]).agg(F.coalesce(F.min("o1"), F.min("o2")).alias("policy_ord"))
+    by_domain = by_address.join(small(side), (host == F.col("_d")) & F.contains(F.lower("_subject"), F.lower("_alias")), "left")
+    found = by_domain.groupBy("_address", "_subject").agg(F.coalesce(F.min("o1"), F.min("o2")).alias("policy_ord"))
+    # rows that repeat stay as many as they are
+    return rows.join(found, F.col(address).eqNullSafe(F.col("_address")) & F.col(subject).eqNullSafe(F.col("_subject")), "left").drop("_address", "_subject")
 
 
 def week_close(points: DataFrame, key: str, day: str, value: str, start: Column, end: Column) -> DataFrame:

@@ -218,3 +218,80 @@ def quality_issues(rows: DataFrame, rules: Sequence[tuple[str, Column]], id: str
     """(id, code): one row an issue; rules are conditions on a row."""
     codes = F.array_compact(F.array(*[F.when(c, F.lit(code)) for code, c in rules]))
     return rows.select(id, F.explode(codes).alias("code"))
+
+
+# Gates around the judge
+
+
+def weekly_eligible(excluded: Column, text: Column, insights: Column, low_value: str, technical: str) -> Column:
+    """No structural noise: no exclusion, no low-value format, and no technical format among insights."""
+    return (T.text_of(excluded) == "") & ~text.rlike(low_value) & ~(insights & text.rlike(technical))
+
+
+def agenda_eligible(title: Column, category: Column, excluded: Column, verdict: Column, barred: Sequence[str]) -> Column:
+    """Kept rows with a title, outside the barred categories and not excluded."""
+    return (F.trim(T.text_of(title)) != "") & ~F.coalesce(category.isin(*barred), F.lit(False)) & ~F.coalesce(excluded, F.lit(False)) & F.coalesce(verdict == "keep", F.lit(False))
+
+
+def complete(rows: DataFrame, title: str = "title", link: str = "link", note: str | None = None) -> DataFrame:
+    """Rows with a title and a link; notes are context and never sent."""
+    has = (F.trim(T.text_of(title)) != "") & (F.trim(T.text_of(link)) != "")
+    return rows.where(has if note is None else has & ~F.coalesce(F.col(note), F.lit(False)))
+
+
+def gate(rows: DataFrame, deferrable: Sequence[str], can_defer: bool, *, reason: str = "exclusion_reason", newsletter: str = "newsletter", excluded: str = "excluded") -> tuple[DataFrame, DataFrame]:
+    """(to the judge, rejected): excluded rows go, but newsletters excluded for a deferrable reason are only deferred."""
+    deferred = F.lit(can_defer) & F.col(excluded) & F.col(newsletter) & F.coalesce(F.col(reason).isin(*deferrable), F.lit(False)) if deferrable else F.lit(False)
+    marked = rows.withColumn("deferred", F.coalesce(deferred, F.lit(False)))
+    out = F.coalesce(F.col(excluded), F.lit(False)) & ~F.col("deferred")
+    return marked.where(~out), marked.where(out)
+
+
+def rescue(judged: DataFrame, *, verdict: str = "editor_verdict", excluded: str = "still_excluded") -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected) after the judge: a deferred row is restored only by an explicit keep."""
+    lost = F.col("deferred") & ~(F.coalesce(F.col(verdict) == "keep", F.lit(False)) & ~F.coalesce(F.col(excluded), F.lit(False)))
+    why = F.when(F.col(verdict) == "reject", "editor").otherwise("newsletter_review_unavailable")
+    refused = ~F.col("deferred") & F.coalesce(F.col(verdict) == "reject", F.lit(False))
+    marked = judged.withColumn("rejected_by", F.when(lost, why).when(refused, "editor"))
+    return marked.where("rejected_by IS NULL").drop("rejected_by"), marked.where("rejected_by IS NOT NULL")
+
+
+def grounded_second_look(rows: DataFrame, verdicts: DataFrame, *, least: int = 8) -> DataFrame:
+    """Verdicts of a second look at boundary rows, taken only where they quote the row: else the first stands.
+
+    `verdicts` has ord, keep and quote; a quote is `least` characters that the title or
+    description holds as they are.
+    """
+    met = rows.join(verdicts.select("ord", F.col("keep").alias("_keep"), F.col("quote").alias("_quote")), "ord", "left")
+    quote = T.text_of("_quote")
+    said = (F.length(quote) >= least) & (F.contains(T.text_of("title"), quote) | F.contains(T.text_of("description"), quote))
+    taken = F.col("_keep").isNotNull() & said
+    out = met.withColumn("grounded", taken).withColumn("editor_verdict", F.when(taken, F.when(F.col("_keep"), "keep").otherwise("reject")).otherwise(F.col("editor_verdict")))
+    return out.drop("_keep", "_quote")
+
+
+def selected_flags(rows: DataFrame, selected: DataFrame, id: str = "ord") -> DataFrame:
+    """Every row with whether its id was selected."""
+    return rows.join(selected.select(F.col(id).alias("_id")).distinct().withColumn("_hit", F.lit(True)), F.col(id) == F.col("_id"), "left").withColumn("selected", F.col("_hit").isNotNull()).drop("_id", "_hit")
+
+
+def translated(rows: DataFrame, replies: DataFrame, pairs: Sequence[tuple[str, str]], *, id: str = "ord", title: str = "title", script: str = "가-힣") -> DataFrame:
+    """Titles of one script translated: the reply's where it is in the other script and keeps the qualifiers, else the original.
+
+    Adds title_orig (null: not asked); only titles without the script are asked for.
+    """
+    met = rows.join(replies.select(F.col(id).alias("_id"), F.col("title").alias("_new")), F.col(id) == F.col("_id"), "left")
+    asked = ~F.col(title).rlike(f"[{script}]") & F.col(title).rlike("[A-Za-z]")
+    good = asked & (F.trim(T.text_of("_new")) != "") & F.col("_new").rlike(f"[{script}]") & F.coalesce(T.preserves_qualifiers(F.col(title), F.col("_new"), pairs), F.lit(False))
+    good = F.coalesce(good, F.lit(False))
+    return met.withColumn("title_orig", F.when(asked, F.col(title))).withColumn(title, F.when(good, F.trim("_new")).otherwise(F.col(title))).drop("_id", "_new")
+
+
+def source_region(rows: DataFrame, registry: DataFrame, *, url: str = "url", languages: Sequence[str] = ("ko",), query: str = r"[?&](?:hl|lang)=([a-z]+)") -> DataFrame:
+    """Region of a source: its registered domain's, else that of a language parameter of its url, else global."""
+    from .joins import suffix_match
+
+    own = rows.withColumn("_host", T.host_of(F.col(url)))
+    found = suffix_match(own, registry.withColumnRenamed("region", "_region"), "_host", "domain", "_region")
+    by_language = F.when(F.regexp_extract(url, query, 1).isin(*languages), "korea")
+    return found.withColumn("region", F.coalesce("_region", by_language, F.lit("global"))).drop("_host", "_region")

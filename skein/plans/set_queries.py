@@ -346,13 +346,13 @@ def line_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.pack_lines(lines, "conv_id", "turn", "size", 400).select("conv_id", "turn", "message")
 
 
-@query()
+@query(f"WITH {EVENT}, g AS (SELECT *, CAST(k AS VARCHAR) AS kk FROM ev WHERE ord % 50 <> 0) SELECT 'url:https://a.example/' || kk AS identity, arg_max(event_type, ord) AS category, CAST(arg_max(day, ord) AS VARCHAR) AS edition_date, max(ord) AS seq, min(ord) AS first_seen FROM g GROUP BY kk")
 def archive_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as archive records and read by the tolerant reader, last write wins."""
     rows = event_rows(spark, sf_dir)
     record = F.to_json(F.struct(F.lit(3).alias("version"), F.col("day").cast("string").alias("edition_date"), F.array(F.struct(F.concat(F.lit("https://a.example/"), (F.col("k")).cast("string")).alias("url"), F.col("event_type").alias("category"), F.col("value").alias("editor_score"))).alias("articles")))
     lines = rows.select(F.col("ord").alias("seq"), F.when(F.col("ord") % 50 == 0, "{broken").otherwise(record).alias("value"))
-    return A.read_lines(lines).select("identity", "category", "edition_date", "seq", "first_seen")
+    return A.read_lines(lines).select("identity", "category", "edition_date", F.col("seq.line").alias("seq"), F.col("first_seen.line").alias("first_seen"))
 
 
 @query(f"WITH {ART}, g AS (SELECT *, min(ord) OVER (PARTITION BY {_TITLE_KEY}) AS leader FROM art), e AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY leader ORDER BY size DESC, day DESC, ord) = 1) SELECT category, region, ord, title, CAST(row_number() OVER (PARTITION BY category, region ORDER BY size DESC, ord) AS INTEGER) AS rank FROM e QUALIFY rank <= 3")

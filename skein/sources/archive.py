@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
@@ -33,7 +33,7 @@ def legacy_articles(records: DataFrame) -> DataFrame:
 
 def read_lines(lines: DataFrame) -> DataFrame:
     """Articles of an archive's lines (seq, value): v3, v2 (time only) and legacy text, last write
-    wins an identity and keeps the place of the first."""
+    wins an identity and keeps the place of the first; seq and first_seen are (line, article)."""
     records, _ = parse_lines(lines)
     modern = records.where(F.col("articles").isNotNull()).select("seq", "ts", "edition_date", F.posexplode("articles").alias("line", "a"))
     columns = ["category", "url", "title", "source", "date"]
@@ -41,18 +41,21 @@ def read_lines(lines: DataFrame) -> DataFrame:
     both = one.unionByName(legacy_articles(records).select("seq", "line", "ts", "edition_date", *columns))
     day = D.edition_date(F.col("edition_date"), D.published_utc(F.col("ts")))
     named = both.withColumn("edition_date", day.cast("string")).withColumn("identity", T.article_identity(F.col("url"), F.col("title"), F.col("source")))
-    placed = named.withColumn("seq", F.col("seq") * 1000 + F.col("line"))
+    # a struct orders as its fields do, however many articles a line has
+    placed = named.withColumn("seq", F.struct(F.col("seq").alias("line"), F.col("line").alias("article")))
     return H.latest_wins(placed, ["identity"]).drop("line", "ts")
 
 
 def read_archive(spark: SparkSession, *paths: str) -> DataFrame:
-    """Archive files in the order given (recovery first): a later file's lines win."""
+    """Archive files in the order given (recovery first): a later file's lines win.
+
+    A line's place is (file, position in the read), so no file is numbered in one task.
+    """
     lines = None
     for i, path in enumerate(paths):
-        raw = spark.read.text(path).select(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("n"), "value")
+        raw = spark.read.text(path).select(F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("n")).alias("seq"), "value")
         lines = raw if lines is None else lines.unionByName(raw)
-    numbered = lines.withColumn("seq", F.row_number().over(Window.partitionBy("file").orderBy("n")) + F.col("file") * 1_000_000)
-    return read_lines(numbered.select("seq", "value"))
+    return read_lines(lines)
 
 
 def append_edition(articles: DataFrame, path: str, edition: str, sent_at: str) -> None:

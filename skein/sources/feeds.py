@@ -59,13 +59,13 @@ class FeedReader(DataSourceReader):
     def read(self, partition: FeedPartition) -> Iterator[tuple]:
         try:
             for n, item in enumerate(parse_feed(self.transport(partition.url))):
-                yield partition.ord * 1_000_000 + n, partition.name, item["title"], item["link"], item["date"], item["description"], None
+                yield (partition.ord << 40) + n, partition.name, item["title"], item["link"], item["date"], item["description"], None
         except (OSError, ET.ParseError) as e:
-            yield partition.ord * 1_000_000, partition.name, None, None, None, None, f"{type(e).__name__}: {e}"[:300]
+            yield partition.ord << 40, partition.name, None, None, None, None, f"{type(e).__name__}: {e}"[:300]
 
 
 class FeedSource(DataSource):
-    """spark.read.format("skein_feed").option("sources", "name=url|name=url"): rows in the order of sources."""
+    """spark.read.format("skein_feed").option("sources", "name=url|name=url"): rows in the order of sources (ord: source * 2^40 + item)."""
 
     transport = staticmethod(read_file)
 

@@ -9,7 +9,7 @@ from email.policy import default as mail_policy
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -212,3 +212,28 @@ def mail_links(mails: DataFrame, id: str = "uid", exact: Sequence[str] = (), fra
     both = linked.unionByName(bare)
     good = both.where(T.usable_article_url(F.col("url"), skip) & ~T.boilerplate_anchor(F.col("title"), exact, fragments) & T.looks_like_headline(F.col("title")))
     return good.groupBy(id, "url").agg(F.min("pos").alias("pos"), F.min_by("title", "pos").alias("title"))
+
+
+def primary_body(html: str | None, containers: Sequence[str], least: int = 300) -> str:
+    """Text of the first element of any of the classes that holds `least` characters, else nothing."""
+    tree = tree_of(html)
+
+    def walk(node) -> str:
+        for child in node.children:
+            if isinstance(child, str):
+                continue
+            if set((child.attributes.get("class", "")).split()) & set(containers):
+                text = " ".join(child.text().split())
+                if len(text) >= least:
+                    return text
+            if found := walk(child):
+                return found
+        return ""
+
+    return walk(tree)
+
+
+def public_story_url(url: Column, host: str, pattern: str, template: str) -> Column:
+    """A verified publication's mail link as its public permalink: the pattern's first group put into the template."""
+    slug = F.regexp_extract(T.text_of(url), pattern, 1)
+    return F.when((T.host_of(url) == host) & (slug != ""), F.replace(F.lit(template), F.lit("{}"), slug))

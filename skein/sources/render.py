@@ -25,10 +25,14 @@ def digest(rows: DataFrame, placeholder: str = "(none)") -> DataFrame:
 
 
 def blocks(digests: DataFrame, most: int = 50) -> DataFrame:
-    """One row a message: a JSON list of section blocks, at most `most` of them."""
+    """One row: a JSON list of section blocks; more than `most` of them fail, as a message cut short would mislead.
+
+    The digests of an edition are one a category, so they meet in one row.
+    """
     section = F.struct(F.lit("section").alias("type"), F.struct(F.lit("mrkdwn").alias("type"), F.col("digest").alias("text")).alias("text"))
-    ordered = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("category", section.alias("b")))), lambda x: x["b"]), 1, most)
-    return digests.agg(F.to_json(ordered).alias("blocks"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("category", section.alias("b")))), lambda x: x["b"])
+    listed = digests.agg(ordered.alias("b"))
+    return listed.select(F.when(F.size("b") > most, F.raise_error(F.concat(F.lit(f"more than {most} blocks: "), F.size("b").cast("string")))).otherwise(F.to_json("b")).alias("blocks"))
 
 
 def pack_lines(lines: DataFrame, group: str, order: str, size: str, most: int = 4096) -> DataFrame:

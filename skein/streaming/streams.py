@@ -36,16 +36,33 @@ def unseen(stream: DataFrame, memory: DataFrame, key: str, day: str, days: int =
 
 
 def deliver_batches(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: a batch that is run again overwrites its own folder, so rows land once."""
+    """foreachBatch sink: a key lands once, in the first batch that has it.
+
+    A batch that is run again overwrites its own folder, without the keys of the batches
+    before it, and so writes the same rows.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        once = batch.dropDuplicates([key])
+        if number:
+            landed = batch.sparkSession.read.schema(batch.schema).parquet(*[f"{path}/batch={n}" for n in range(number)]).select(key)
+            once = once.join(landed, key, "left_anti")
+        once.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over all that is there into a memory table, and return it."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Drive a stream over all that is there into files beside its progress, and read them.
+
+    In complete mode each batch replaces the last; otherwise each adds its rows.  Nothing
+    passes through the driver.
+    """
+    path = f"{checkpoint}/{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{checkpoint}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path if mode == "complete" else f"{path}/batch=*")

@@ -151,17 +151,79 @@ def test_conflicts_and_sender_policy(spark):
 
 
 def test_daily_and_weekly_editions(spark):
-    rows = spark.createDataFrame([(i, f"Bank news number {i} today", "text", f"https://a.com/{i}", f"s{i % 3}", "r", "2024-01-10") for i in range(8)], "ord bigint, title string, description string, link string, source string, region string, day string").withColumn("day", F.col("day").cast("date"))
+    rows = spark.createDataFrame([(i, f"Bank {'abcdefgh'[i] * 6} {'mnopqrst'[i] * 5} story", "text", f"https://a.com/{i}", f"s{i % 3}", "r", "2024-01-10") for i in range(8)], "ord bigint, title string, description string, link string, source string, region string, day string").withColumn("day", F.col("day").cast("date"))
     seen = spark.createDataFrame([("https://a.com/0",)], "value string")
     titles = spark.createDataFrame([(0, "Entirely different words here")], "ord bigint, title string")
     out = daily.daily_edition(rows, seen_links=seen, seen_titles=titles, lexicon=R.Relevance(interest=("bank",)), taxonomy=R.Taxonomy({"money": ("bank",)}))
     chosen = out["selected"].collect()
     assert len(chosen) == 3 and 0 not in {r.ord for r in chosen}
+    lost = {r.ord: (r.stage, r.reason) for r in out["rejected"].collect()}
+    assert lost[0] == ("seen_link", "seen_link") and set(lost) | {r.ord for r in chosen} == set(range(8))
+    assert sorted(stage for stage, _ in lost.values()) == ["quota"] * 4 + ["seen_link"]
     archive = rows.withColumn("category", F.lit("c")).withColumn("score", F.col("ord").cast("double"))
     edition = weekly.weekly_edition(archive, F.lit("2024-01-17").cast("date"), [("bank", F.col("title").contains("Bank"), 1.0)], cap=5)
     assert edition.count() == 5 and edition.orderBy("place").first().ord == 7
 
 
+def test_daily_stories_and_memory(spark):
+    titles = ["Acme bank raises fund today", "Acme bank raises fund today!", "Beta bank closes branch early", "Gamma bank wins court case", "", "Plain weather"]
+    rows = spark.createDataFrame([(i, t, "x" * i, f"https://a.com/{i}", f"s{i}", "r", "2024-01-10", f) for i, (t, f) in enumerate(zip(titles, ["funding", "funding", "closure", "court", "", ""], strict=True))], "ord bigint, title string, description string, link string, source string, region string, day string, family string").withColumn("day", F.col("day").cast("date"))
+    entity = F.when(F.col("family") == "", F.array().cast("array<string>")).otherwise(F.array(F.lower(F.split_part("title", F.lit(" "), F.lit(1)))))
+    facts = lambda df: daily.plain_facts(df).withColumn("entities", entity).withColumn("status", F.lit(1))
+    memory = spark.createDataFrame([("2024-01-08", "court", "", ["gamma"], 1), ("2024-01-08", "closure", "", ["other"], 1), ("2024-01-01", "funding", "", ["acme"], 1)], "day string, family string, stage string, entities array<string>, status int").withColumn("day", F.col("day").cast("date"))
+    none = spark.createDataFrame([], "value string"), spark.createDataFrame([], "ord bigint, title string")
+    out = daily.daily_edition(rows, seen_links=none[0], seen_titles=none[1], lexicon=R.Relevance(interest=("bank",)), taxonomy=R.Taxonomy({"money": ("bank",)}), memory=memory, facts=facts, limits=9)
+    # one story of two rows (the longer text stands for it); court was told, the unrelated closure was not
+    assert {r.ord for r in out["selected"].collect()} == {1, 2}
+    assert {r.ord: r.stage for r in out["rejected"].collect()} == {0: "duplicate", 3: "told", 4: "incomplete", 5: "relevance"}
+
+
+def test_gates_and_rescue(spark):
+    rows = spark.createDataFrame([(0, None, False, False), (1, "noise", True, True), (2, "noise", True, False), (3, "hard", True, True)], "ord int, exclusion_reason string, excluded boolean, newsletter boolean")
+    go, lost = R.gate(rows, ("noise",), True)
+    assert {r.ord: r.deferred for r in go.collect()} == {0: False, 1: True} and {r.ord for r in lost.collect()} == {2, 3}
+    assert {r.ord for r in R.gate(rows, ("noise",), False)[0].collect()} == {0}
+    judged = spark.createDataFrame([(0, False, "keep", False), (1, True, "keep", False), (2, True, "keep", True), (3, True, None, False), (4, True, "reject", False), (5, False, "reject", False), (6, False, None, False)], "ord int, deferred boolean, editor_verdict string, still_excluded boolean")
+    kept, lost = R.rescue(judged)
+    assert {r.ord for r in kept.collect()} == {0, 1, 6}
+    assert {r.ord: r.rejected_by for r in lost.collect()} == {2: "newsletter_review_unavailable", 3: "newsletter_review_unavailable", 4: "editor", 5: "editor"}
+
+
+def test_second_look_flags_and_translation(spark):
+    rows = spark.createDataFrame([(0, "Bank buys a tower", "d", "reject"), (1, "Other words here", "d", "reject"), (2, "한국 은행", "d", "keep")], "ord int, title string, description string, editor_verdict string")
+    verdicts = spark.createDataFrame([(0, True, "buys a tower"), (1, True, "never said so")], "ord int, keep boolean, quote string")
+    assert {r.ord: (r.editor_verdict, r.grounded) for r in R.grounded_second_look(rows, verdicts).collect()} == {0: ("keep", True), 1: ("reject", False), 2: ("keep", False)}
+    assert {r.ord: r.selected for r in R.selected_flags(rows, verdicts.where("ord = 1")).collect()} == {0: False, 1: True, 2: False}
+    replies = spark.createDataFrame([(0, "은행이 탑을 산다"), (1, "still latin"), (2, "다른 제목")], "ord int, title string")
+    out = {r.ord: (r.title, r.title_orig) for r in R.translated(rows, replies, ()).collect()}
+    assert out == {0: ("은행이 탑을 산다", "Bank buys a tower"), 1: ("Other words here", "Other words here"), 2: ("한국 은행", None)}
+
+
+def test_eligibility_and_source_regions(spark):
+    rows = spark.createDataFrame([("", "a webinar", False), ("x", "news", False), (None, "news api guide", True), (None, "news api guide", False)], "reason string, text string, insights boolean")
+    assert [r[0] for r in rows.select(R.weekly_eligible(F.col("reason"), F.col("text"), F.col("insights"), "webinar", "api")).collect()] == [False, False, False, True]
+    agenda = spark.createDataFrame([("t", "a", False, "keep"), ("", "a", False, "keep"), ("t", "b", False, "keep"), ("t", "a", True, "keep"), ("t", "a", None, None)], "t string, c string, x boolean, v string")
+    assert [r[0] for r in agenda.select(R.agenda_eligible(F.col("t"), F.col("c"), F.col("x"), F.col("v"), ("b",))).collect()] == [True, False, False, False, False]
+    urls = spark.createDataFrame([("https://news.a.kr/x",), ("https://g.com/?hl=ko",), ("https://g.com/?hl=en",), (None,)], "url string")
+    registry = spark.createDataFrame([("a.kr", "korea")], "domain string, region string")
+    assert [r.region for r in R.source_region(urls, registry).orderBy(F.col("url").desc_nulls_last()).collect()] == ["korea", "korea", "global", "global"]
+
+
+def test_repeated_rows_stay(spark):
+    rows = spark.createDataFrame([("f", "2024-01-10", 1)] * 3, "family string, day string, status int").withColumn("day", F.col("day").cast("date"))
+    assert J.recent_events(rows, rows.where("false"), "family", "day", 7, "status").count() == 3
+    mails = spark.createDataFrame([("a@x.com", "Hi")] * 2 + [(None, None)], "sender string, subject string")
+    policies = spark.createDataFrame([(1, "a@x.com", "x.com", "zzz")], "policy_ord int, address string, domain string, alias string")
+    assert sorted((r.policy_ord for r in J.sender_policy(mails, policies).collect()), key=str) == [1, 1, None]
+
+
+def test_seen_issues_in_two_scripts(spark):
+    seen = spark.createDataFrame([(i, f"older title number {i}") for i in range(3)] + [(9, "Central bank raises the rate"), (10, "한국은행 기준금리 인상 결정")], "ord bigint, title string")
+    rows = spark.createDataFrame([(0, "Bank raises rate again"), (1, "한국은행 기준금리 또 인상"), (2, "전혀 다른 소식입니다"), (3, "older title number 1")], "ord bigint, title string")
+    assert {r.ord for r in J.unseen_issues(rows, seen).collect()} == {2}
+    assert {r.ord for r in J.unseen_issues(rows, seen, last=2).collect()} == {2, 3}
+
+
 def test_evidence_rounds(spark):
     rows = spark.createDataFrame([(i, float(i), "unchecked" if i > 1 else "ok") for i in range(4)], "ord int, score double, claim_status string")
     pick = lambda df: df.where("claim_status <> 'refuted'").orderBy(F.desc("score")).limit(2)

@@ -2,10 +2,12 @@
 
 from email.message import EmailMessage
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.plans.judge import cache_key, cached
-from skein.sources import archive, feeds, market, pages, render
+from skein.sources import archive, feeds, market, pages, render, searches
+from skein.streaming import streams
 
 
 def test_archive_versions(spark, tmp_path):
@@ -48,6 +50,112 @@ def test_sections_and_context():
     assert pages.article_context(page, {"u1": "Headline one"}) == {"u1": "Headline one lead text More of it."}
 
 
+def test_long_editions_keep_their_order(spark):
+    """An edition of 1,500 articles does not outrun the line after it, which tells one of them anew."""
+    article = '{"url":"https://a.com/%d","title":"%s","source":"s"}'
+    first = '{"version":3,"edition_date":"2024-01-10","articles":[%s]}' % ",".join(article % (i, "old") for i in range(1500))
+    later = '{"version":3,"edition_date":"2024-01-11","articles":[%s]}' % (article % (1400, "new"))
+    got = archive.read_lines(spark.createDataFrame([(0, first), (1, later)], "seq bigint, value string")).where("url = 'https://a.com/1400'").first()
+    assert got.title == "new" and (got.seq.line, got.first_seen.line, got.first_seen.article) == (1, 0, 1400)
+
+
+def test_configured_lists_and_direct_pages(spark):
+    page = searches.ListPage("title", "sum", "https://x.com/")
+    html = "<div class='item'><h3 class='big title'><a href='https://x.com/20240110/a'>First &amp; one</a></h3><p class=sum>Said <b>so</b></p></div><h3 class=title><a href='https://y.com/b'>Other</a></h3><h3 class=title><a href='https://x.com/20240110/a'>Again</a></h3><h3 class=title><a href='https://x.com/20231201/c'>Old one</a></h3><h3 class=title><a href='https://x.com/d'>No date</a></h3>"
+    assert searches.configured_items(html, page) == [("First & one", "https://x.com/20240110/a", "Said so"), ("Old one", "https://x.com/20231201/c", ""), ("No date", "https://x.com/d", "")]
+    rows = spark.createDataFrame([(1, html), (2, None)], "page_id int, html string")
+    day = F.lit("2024-01-11").cast("date")
+    assert [r.title for r in searches.direct_pages(rows, page, day).orderBy("pos").collect()] == ["First & one", "No date"]
+    assert [r.title for r in searches.direct_pages(rows, page, day, require_date=True).collect()] == ["First & one"]
+
+
+def test_search_fetches_each_url_once(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def transport(url):
+        import os
+        import uuid
+
+        open(os.path.join(asked, uuid.uuid4().hex), "w").close()
+        if "bad" in url:
+            raise OSError("down")
+        return ('{"hits":[%s]}' % ",".join('{"title":"T%d","url":"https://a.com/%d","objectID":"%d","created_at":"2024-01-01","story_text":"%s"}' % (i, i % 4, i, "x" * 600) for i in range(7))).encode()
+
+    requests = searches.search_requests(spark, ["one", "bad", "one", "two", "five"], "https://api.test/s", 0)
+    assert requests.count() == 4
+    replies = searches.shared(requests, transport).cache()
+    assert {(r.ord, r.error) for r in replies.collect()} == {(0, None), (1, "OSError: down"), (2, None), (3, None)}
+    assert len(list(asked.iterdir())) == 3
+    hits = searches.search_hits(replies).orderBy("ord", "pos").collect()
+    assert [(r.ord, r.title, len(r.description)) for r in hits] == [(0, f"T{i}", 500) for i in range(4)]
+
+
+def test_mailbox_scan_and_query(spark):
+    mails = spark.createDataFrame([(i, "A@x.com" if i % 10 == 0 else "b@y.com", i) for i in range(60)], "uid int, sender string, received int")
+    got = [r.uid for r in searches.mailbox_scan(mails, ["a@x.com", "none@z.com"], newest=5, each=3).orderBy("place").collect()]
+    assert got == [59, 58, 57, 56, 55, 50, 40, 30]
+    assert searches.mail_query('News "x"', ["a@x.com", "b@y.com"], 3) == 'label:"News \\"x\\"" {from:"a@x.com" from:"b@y.com"} newer_than:3d'
+
+
+def test_state_and_sets_fail_closed(spark, tmp_path):
+    good, bad = tmp_path / "good.jsonl", tmp_path / "bad.jsonl"
+    good.write_text('{"key":"a"}\n')
+    bad.write_text('{"key":"a"}\n{broken\n')
+    assert searches.read_state(spark, str(good), "key string").count() == 1
+    with pytest.raises(Exception, match="MALFORMED|alformed"):
+        searches.read_state(spark, str(bad), "key string").collect()
+    for text in ("[NaN]", "{}", "[1]", '[{"x": Infinity}]'):
+        with pytest.raises(ValueError):
+            searches.load_objects(text)
+    with pytest.raises(ValueError, match="maybe"):
+        searches.load_eval_set(spark, '[{"label":"maybe"}]')
+    assert searches.load_eval_set(spark, '[{"label":"keep","title":"t"}]').first().title == "t"
+
+
+def test_market_days_names_and_indicators(spark):
+    days = [r.name for r in searches.business_days(spark, "2024-01-05", "2024-01-09").orderBy("ord").collect()]
+    assert days == ["20240105", "20240108", "20240109"]
+    replies = spark.createDataFrame([("20240105", b'{"items":[{"name":"KO SPI 200","close":"1,300.5"},{"name":"x","close":"1"}]}', None), ("20240108", None, "down")], "name string, body binary, error string")
+    assert [(str(r.day), r.value) for r in searches.named_closes(replies, "kospi200").collect()] == [("2024-01-05", 1300.5)]
+    point = spark.createDataFrame([("k", "2024-01-02", 1.0, 1, 0)], "key string, day string, value double, page int, pos int").withColumn("day", F.col("day").cast("date"))
+    pages_read = []
+
+    def read(page):
+        pages_read.append(page)
+        return point.withColumn("day", F.date_sub("day", page)).withColumn("page", F.lit(page))
+
+    assert searches.paged(read, F.lit("2023-12-30").cast("date")).count() == 3 and pages_read == [1, 2, 3]
+    rows = searches.indicators([("a", lambda: point), ("b", lambda: 1 / 0), ("c", lambda: point)], spark).orderBy("ord").collect()
+    assert [(r.key, len(r.points), r.error) for r in rows] == [("a", 1, None), ("b", 0, "ZeroDivisionError: division by zero"), ("c", 1, None)]
+
+
+def test_usage_bodies_and_permalinks(spark):
+    calls = spark.createDataFrame([("m", None, 5, 1), ("m", "late", None, None), ("n", None, 2, 2)], "model string, error string, input_tokens int, output_tokens int")
+    assert {tuple(r) for r in searches.usage(calls).collect()} == {("m", 2, 1, 5, 1), ("n", 1, 0, 2, 2)}
+    body = "word " * 80
+    assert pages.primary_body(f"<div class='post-body'>short</div><div class='wrap'><div class='post-body x'><p>{body}</p></div></div>", ["post-body"]) == body.strip()
+    assert pages.primary_body("<div class='post-body'>short</div>", ["post-body"]) == "" == pages.primary_body(None, ["a"])
+    urls = spark.createDataFrame([("https://mail.pub.com/p/the-story?x=1",), ("https://other.com/p/a",), (None,)], "u string")
+    out = [r[0] for r in urls.select(pages.public_story_url(F.col("u"), "mail.pub.com", r"/p/([a-z-]+)", "https://pub.com/p/{}")).collect()]
+    assert out == ["https://pub.com/p/the-story", None, None]
+
+
+def test_too_many_blocks_fail(spark):
+    digests = spark.range(51).select(F.format_string("c%02d", "id").alias("category"), F.lit("x").alias("digest"))
+    assert render.blocks(digests.limit(50)).first().blocks.startswith('[{"type":"section"')
+    with pytest.raises(Exception, match="more than 50 blocks"):
+        render.blocks(digests).collect()
+
+
+def test_keys_land_once_across_batches(spark, tmp_path):
+    sink = streams.deliver_batches(str(tmp_path / "out"), "k")
+    batches = [[(1, "a"), (1, "a")], [(1, "b"), (2, "b")], [(2, "c"), (3, "c")]]
+    for number in (0, 1, 0, 2, 1):
+        sink(spark.createDataFrame(batches[number], "k int, v string"), number)
+    assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
 def test_feed_source_isolates_failures(spark, tmp_path):
     good = tmp_path / "good.xml"
     good.write_bytes(b"<rss><channel><item><title>A\x0b</title><link>https://a.com/1</link><pubDate>Mon, 15 Jan 2024 10:00:00 GMT</pubDate></item></channel></rss>")
