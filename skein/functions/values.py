@@ -40,7 +40,7 @@ def valid_distribution(p: Column, choice: Column, slack: float = 0.005) -> Colum
 
 def ordered_unique(values: Column) -> Column:
     """Distinct trimmed values without blanks, first come first."""
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v != ""))
+    return F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != ""))
 
 
 def json_body(reply: Column) -> Column:
