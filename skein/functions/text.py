@@ -348,6 +348,41 @@ def first_hit(text: Column, keywords: Iterable[str]) -> Column:
     return F.coalesce(*found, F.lit(None).cast("string")) if found else F.lit(None).cast("string")
 
 
+def plain_word(keyword: str) -> bool:
+    """Whether a keyword is one Latin word, so that it occurs where the word does."""
+    return re.fullmatch(r"[a-z0-9_]*[a-z][a-z0-9_]*", keyword.lower()) is not None
+
+
+def word_set(low: Column) -> Column:
+    """Distinct words of a lower-cased text."""
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)(\w+)"), F.lit(1)))
+
+
+def worded(text: Column) -> Column:
+    """(low, words) of a text: what several lexicons are held against, extracted once where it is bound."""
+    low = F.lower(text_of(text))
+    return F.struct(low.alias("low"), word_set(low).alias("words"))
+
+
+def first_in(found: Column, keywords: Iterable[str]) -> Column:
+    """As `first_hit`, on the `worded` text: runs of plain words are met by one intersection."""
+    out, run = [], []
+
+    def close() -> None:
+        if run:
+            out.append(F.get(F.array_intersect(F.array(*[F.lit(k) for k in run]), found["words"]), F.lit(0)))
+            run.clear()
+
+    for k in keywords:
+        if plain_word(k) and k == k.lower():
+            run.append(k)
+        else:
+            close()
+            out.append(F.when(keyword_hit(found["low"], k), F.lit(k)))
+    close()
+    return F.coalesce(*out, F.lit(None).cast("string"))
+
+
 def first_match(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Label of the first pattern that occurs, null if none."""
     out = None

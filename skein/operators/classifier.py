@@ -6,7 +6,6 @@ intersection, and only phrases and other scripts are searched for one by one.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -45,14 +44,7 @@ class Lexicon:
     adjustments: Mapping[str, float] = field(default_factory=dict)
 
 
-def plain(keyword: str) -> bool:
-    """Whether a keyword is one Latin word, so that it occurs where the word does."""
-    return re.fullmatch(r"[a-z0-9_]*[a-z][a-z0-9_]*", keyword.lower()) is not None
-
-
-def word_set(low: Column) -> Column:
-    """Distinct words of a lower-cased text."""
-    return F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?U)(\w+)"), F.lit(1)))
+plain, word_set = T.plain_word, T.word_set
 
 
 def count_hits(words: Column, low: Column, keywords: Iterable[str]) -> Column:

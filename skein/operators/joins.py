@@ -38,15 +38,32 @@ def unseen(rows: DataFrame, seen: DataFrame, keys: Sequence[str], value: str = "
     return out
 
 
-def title_overlaps(rows: DataFrame, seen: DataFrame, title: str = "title", seen_title: str = "title", id: str = "ord", level: float = 0.5) -> DataFrame:
-    """(id, seen id, overlap) of pairs that share words and reach the overlap coefficient.
+def overlapping(a: DataFrame, b: DataFrame, level: float) -> DataFrame:
+    """(a, b, overlap) of rows (a, e) and (b, e) of distinct elements whose overlap coefficient reaches `level`.
 
-    An inverted index on words meets only pairs with a word in common.
+    A pair shares at least level * n elements of its smaller side, of n, so one of that
+    side's rarest n - ceil(level * n) + 1 is among them: these alone meet the whole other
+    side, and common elements stay out of the join.
     """
-    a = rows.select(F.col(id).alias("a"), T.word_tokens(F.col(title)).alias("t")).select("a", F.size("t").alias("na"), F.explode("t").alias("w"))
-    b = seen.select(F.col(id).alias("b"), T.word_tokens(F.col(seen_title)).alias("t")).select("b", F.size("t").alias("nb"), F.explode("t").alias("w"))
-    shared = a.join(b, "w").groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return shared.withColumn("overlap", F.col("k") / F.least("na", "nb")).where(F.col("overlap") >= level).select("a", "b", "overlap")
+    df = a.select(F.explode("e").alias("w")).unionByName(b.select(F.explode("e").alias("w"))).groupBy("w").agg(F.count("*").alias("df"))
+
+    def rare(rows: DataFrame, id: str) -> DataFrame:
+        weighed = rows.select(id, F.size("e").alias("n"), F.explode("e").alias("w")).join(df, "w")
+        order = F.row_number().over(Window.partitionBy(id).orderBy("df", "w"))
+        return weighed.withColumn("_r", order).where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * F.lit(level) - 1e-9) + 1).select(id, "w")
+
+    whole = lambda rows, id: rows.select(id, F.explode("e").alias("w"))
+    pairs = rare(a, "a").join(whole(b, "b"), "w").select("a", "b").unionByName(whole(a, "a").join(rare(b, "b"), "w").select("a", "b")).distinct()
+    met = pairs.join(a.select("a", F.col("e").alias("x")), "a").join(b.select("b", F.col("e").alias("y")), "b")
+    overlap = F.size(F.array_intersect("x", "y")) / F.least(F.size("x"), F.size("y"))
+    return met.select("a", "b", overlap.alias("overlap")).where(F.col("overlap") >= level)
+
+
+def title_overlaps(rows: DataFrame, seen: DataFrame, title: str = "title", seen_title: str = "title", id: str = "ord", level: float = 0.5) -> DataFrame:
+    """(id, seen id, overlap) of titles whose words reach the overlap coefficient."""
+    a = rows.select(F.col(id).alias("a"), T.word_tokens(F.col(title)).alias("e"))
+    b = seen.select(F.col(id).alias("b"), T.word_tokens(F.col(seen_title)).alias("e"))
+    return overlapping(a, b, level)
 
 
 def unseen_titles(rows: DataFrame, seen: DataFrame, title: str = "title", seen_title: str = "title", id: str = "ord", level: float = 0.5) -> DataFrame:
@@ -66,11 +83,11 @@ def unseen_issues(rows: DataFrame, seen: DataFrame, *, title: str = "title", id:
     b = recent.select(F.col("ord").alias("b"), F.col(title).alias("y"), heavy(title).alias("hy"))
     told = None
     for elements, level, script in ((T.char_ngrams, gram_level, True), (T.word_tokens, word_level, False)):
-        left = a.select("a", "hx", elements(F.col("x")).alias("e")).select("a", "hx", F.size("e").alias("na"), F.explode("e").alias("w"))
-        right = b.select("b", "hy", elements(F.col("y")).alias("e")).select("b", "hy", F.size("e").alias("nb"), F.explode("e").alias("w"))
-        met = left.join(right, "w").where((F.col("hx") | F.col("hy")) if script else ~(F.col("hx") | F.col("hy")))
-        alike = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(F.col("k") / F.least("na", "nb") >= level).select("a")
-        told = alike if told is None else told.unionByName(alike)
+        # pairs of two light titles are words' own; any pair with a heavy one is the grams'
+        alike = overlapping(a.select("a", elements(F.col("x")).alias("e")), b.select("b", elements(F.col("y")).alias("e")), level)
+        both = alike.join(a.select("a", "hx"), "a").join(b.select("b", "hy"), "b")
+        own = both.where((F.col("hx") | F.col("hy")) if script else ~(F.col("hx") | F.col("hy"))).select("a")
+        told = own if told is None else told.unionByName(own)
     return rows.join(told.distinct(), F.col(id) == F.col("a"), "left_anti")
 
 
@@ -89,45 +106,56 @@ def recent_events(rows: DataFrame, memory: DataFrame, family: str, day: str, day
     return told.withColumn("kept", F.col("told").isNull() | new_status)
 
 
-def vector_memory(rows: DataFrame, store: DataFrame, level: float, id: str = "ord", vector: str = "embedding", block: int = 1024) -> DataFrame:
-    """(id, best) of rows alike any stored vector: every row against every stored one, in blocks.
-
-    The store is dealt into blocks; each block is a bounded broadcast, so one task holds
-    one block and one batch of rows.
-    """
+def vector_memory(rows: DataFrame, store: DataFrame, level: float, id: str = "ord", vector: str = "embedding", block: int = 4096) -> DataFrame:
+    """(id, best) of rows alike any stored vector: every row against every stored one, block by block in one shuffle."""
     import numpy as np
     import pandas as pd
 
-    n = max(1, -(-store.count() // block))
-    found = None
-    for k in range(n):
-        part = store.where(F.pmod(F.xxhash64(id), F.lit(n)) == k).select(F.col(vector).cast("array<double>")).toPandas()
-        if not len(part):
-            continue
-        m = np.stack(part.iloc[:, 0].to_numpy())
-        m = m / np.where((size := np.linalg.norm(m, axis=1)) == 0, 1.0, size)[:, None]
-        shipped = rows.sparkSession.sparkContext.broadcast(m)
-
-        def best(batches, shipped=shipped):
-            for batch in batches:
-                v = np.stack(batch["v"].to_numpy())
-                v = v / np.where((size := np.linalg.norm(v, axis=1)) == 0, 1.0, size)[:, None]
-                yield pd.DataFrame({"id": batch["id"], "best": (v @ shipped.value.T).max(axis=1)})
-
-        one = rows.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(best, "id bigint, best double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return rows.select(F.col(id), F.lit(None).cast("double").alias("best")).where("false")
-    return found.groupBy(F.col("id").alias(id)).agg(F.max("best").alias("best")).where(F.col("best") >= level)
+    def dealt(df: DataFrame, side: int, own: str, other: str, n_own: int, n_other: int) -> DataFrame:
+        placed = df.select(F.col(id).alias("i"), F.col(vector).cast("array<double>").alias("v"), F.lit(side).alias("side"), F.pmod(F.xxhash64(id), F.lit(n_own)).cast("int").alias(own))
+        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    n_rows, n_store = (max(1, -(-df.count() // block)) for df in (rows, store))
+    both = dealt(rows, 0, "x", "y", n_rows, n_store).unionByName(dealt(store, 1, "y", "x", n_store, n_rows))
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        def unit(frame: pd.DataFrame) -> np.ndarray:
+            m = np.stack(frame["v"].to_numpy())
+            size = np.linalg.norm(m, axis=1)
+            return m / np.where(size == 0, 1.0, size)[:, None]
+
+        mine, stored = part[part["side"] == 0], part[part["side"] == 1]
+        if not len(mine) or not len(stored):
+            return pd.DataFrame({"i": [], "best": []}).astype({"i": "int64", "best": "float64"})
+        m, found = unit(stored).T, []
+        for lo in range(0, len(mine), 512):
+            found.append((unit(mine.iloc[lo : lo + 512]) @ m).max(axis=1))
+        sim = np.concatenate(found)
+        return pd.DataFrame({"i": mine["i"].to_numpy()[sim >= level], "best": sim[sim >= level]})
+
+    found = both.groupBy("x", "y").applyInPandas(best, "i bigint, best double")
+    return found.groupBy(F.col("i").alias(id)).agg(F.max("best").alias("best"))
 
 
 def attach_notes(articles: DataFrame, notes: DataFrame, title: str = "title", note_title: str = "title", excerpt: str = "excerpt", day: str | None = None, capital: str | None = None, most: int = 2, stopwords: Sequence[str] = ()) -> DataFrame:
     """(ord, note, place, excerpt): at most `most` notes an article, three long terms in common
     (one of eight letters), or one of seven with capital words on both sides; at most three days apart."""
-    side = lambda df, c, name: df.withColumn("_t", T.long_terms(F.col(c), stopwords)).select(F.col("ord").alias(name), *([F.col(day).alias(f"{name}_day")] if day else []), F.col(c).alias(f"{name}_text"), F.explode("_t").alias("term"))
+    extra = [day] if day else []
+
+    def side(df: DataFrame, c: str, name: str) -> DataFrame:
+        return df.select(F.col("ord").alias(name), *[F.col(d).alias(f"{name}_day") for d in extra], F.col(c).alias(f"{name}_text"), T.long_terms(F.col(c), stopwords).alias(f"{name}_terms"))
+
     a, b = side(articles, title, "a"), side(notes, note_title, "n")
-    keys = ["a", "n", "a_text", "n_text"] + (["a_day", "n_day"] if day else [])
-    met = a.join(b, "term").groupBy(*keys).agg(F.count("*").alias("k"), F.max(F.length("term")).alias("longest"))
+    terms = a.select("a", F.size("a_terms").alias("_s"), F.explode("a_terms").alias("term"))
+    others = b.select("n", F.explode("n_terms").alias("term"))
+    if capital is None:
+        # three terms in common: one of the article's rarest, all but two, is among them
+        df = others.groupBy("term").agg(F.count("*").alias("_df"))
+        order = F.row_number().over(Window.partitionBy("a").orderBy("_df", "term"))
+        terms = terms.join(df, "term").withColumn("_r", order).where(F.col("_r") <= F.col("_s") - 2)
+    pairs = terms.select("a", "term").join(others, "term").select("a", "n").distinct()
+    shared = F.array_intersect("a_terms", "n_terms")
+    met = pairs.join(a, "a").join(b, "n").withColumn("k", F.size(shared)).withColumn("longest", F.array_max(F.transform(shared, lambda w: F.length(w))))
     alone = F.lit(False) if capital is None else (F.col("k") == 1) & (F.col("longest") >= 7) & F.col("a_text").rlike(capital) & F.col("n_text").rlike(capital)
     same = ((F.col("k") >= 3) & (F.col("longest") >= 8)) | alone
     if day:

@@ -37,19 +37,34 @@ def opinion_marker(url: Column, text: Column, url_parts: Sequence[str], words: S
 
 
 def relevance_reason(title: Column, text: Column, url: Column, source: Column, lexicon: Relevance, title_only: Column | None = None, deferred: Column | None = None) -> Column:
-    """First failing rule, null for a relevant row; rescue words lift a soft exclusion."""
-    scope = text if title_only is None else F.when(title_only, title).otherwise(text)
-    soft = F.when(T.first_hit(text, lexicon.rescue).isNull(), first_keyword_reason("soft", text, lexicon.soft))
-    opinion = opinion_marker(url, text, lexicon.opinion_url, lexicon.opinion_words)
-    failing = F.coalesce(
-        first_keyword_reason("blacklist", text, lexicon.blacklist),
-        F.when(opinion.isNotNull(), F.concat(F.lit("opinion:"), opinion)),
-        first_keyword_reason("hard", scope, lexicon.hard),
-        soft,
-    )
+    """First failing rule, null for a relevant row; rescue words lift a soft exclusion.
+
+    The text's words are extracted once, and all lexicons are held against them.
+    """
+
+    def reason(kind: str, found: Column, words: Sequence[str]) -> Column:
+        hit = T.first_in(found, words)
+        return F.when(hit.isNotNull(), F.concat(F.lit(kind + ":"), hit))
+
+    by_url = opinion_marker(url, F.lit(""), lexicon.opinion_url, ())
     curated = source.isin(*lexicon.curated) if lexicon.curated else F.lit(False)
-    wanted = (F.lit(False) if deferred is None else deferred) | curated | T.first_hit(text, lexicon.interest).isNotNull() | T.first_hit(text, lexicon.events).isNotNull()
-    return F.coalesce(failing, F.when(~F.coalesce(wanted, F.lit(False)), "no_relevant_signal"))
+    always = (F.lit(False) if deferred is None else deferred) | curated
+
+    def decide(found: Column) -> Column:
+        hard = reason("hard", found, lexicon.hard)
+        if title_only is not None:
+            hard = F.when(title_only, T.bind(T.worded(title), lambda t: reason("hard", t, lexicon.hard))).otherwise(hard)
+        failing = F.coalesce(
+            reason("blacklist", found, lexicon.blacklist),
+            F.when(by_url.isNotNull(), F.concat(F.lit("opinion:"), by_url)),
+            reason("opinion", found, lexicon.opinion_words),
+            hard,
+            F.when(T.first_in(found, lexicon.rescue).isNull(), reason("soft", found, lexicon.soft)),
+        )
+        wanted = always | T.first_in(found, lexicon.interest).isNotNull() | T.first_in(found, lexicon.events).isNotNull()
+        return F.coalesce(failing, F.when(~F.coalesce(wanted, F.lit(False)), "no_relevant_signal"))
+
+    return T.bind(T.worded(text), decide)
 
 
 def relevance_signal(text: Column, source: Column, lexicon: Relevance) -> Column:

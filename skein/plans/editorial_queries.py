@@ -165,9 +165,10 @@ def ledger_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {ART} SELECT a.ord AS i, b.ord AS j FROM art a JOIN art b ON a.ord < b.ord AND a.source = b.source AND a.category = b.category AND abs(date_diff('day', a.day, b.day)) <= 2")
 def topic_series_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of one source and topic within two days: an equi-join with a residual condition."""
+    """Pairs of one source and topic within two days: the day is part of the join's key."""
     rows = articles(spark, sf_dir).select("ord", "source", "category", "day")
     a, b = (rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns]) for p in "ab")
-    met = a.join(b, (F.col("a_source") == F.col("b_source")) & (F.col("a_category") == F.col("b_category")) & (F.col("a_ord") < F.col("b_ord")))
+    around = b.withColumn("_day", F.explode(F.sequence(F.date_sub("b_day", 2), F.date_add("b_day", 2))))
+    met = a.join(around, (F.col("a_source") == F.col("b_source")) & (F.col("a_category") == F.col("b_category")) & (F.col("a_day") == F.col("_day")) & (F.col("a_ord") < F.col("b_ord")))
     near = C.topic_series((F.col("a_category"), F.col("b_category")), (F.col("a_source"), F.col("b_source")), D.gap_days(F.col("a_day"), F.col("b_day")))
     return met.where(near).select(F.col("a_ord").alias("i"), F.col("b_ord").alias("j"))
