@@ -40,12 +40,13 @@ def cross_day_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 e AS (SELECT x.ord AS i, y.ord AS j FROM n x JOIN n y ON x.a = y.a UNION SELECT x.ord, y.ord FROM n x JOIN n y ON x.b = y.b), r AS (SELECT ord AS i, ord AS j FROM n UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i), c AS (SELECT i AS ord, min(j) AS component FROM r GROUP BY i),
 p AS (SELECT n.*, component FROM n JOIN c USING (ord)), f AS (SELECT component, least(count(DISTINCT publisher), 5) AS publishers, least(count(*), 5) AS members, max(importance) AS ti, max(score) AS ts FROM p GROUP BY component),
 m AS (SELECT component, category, row_number() OVER (PARTITION BY component ORDER BY count(*) DESC, min(ord)) AS r FROM p GROUP BY component, category),
-d AS (SELECT f.*, category AS main_category, row_number() OVER (PARTITION BY category ORDER BY publishers DESC, members DESC, ti DESC, ts DESC, component) AS round FROM f JOIN m USING (component) WHERE r = 1)
-SELECT component, publishers, members, main_category, CAST(row_number() OVER (ORDER BY round, main_category, component) AS INTEGER) AS place FROM d QUALIFY place <= 16""")
+d AS (SELECT f.*, category AS main_category, row_number() OVER (PARTITION BY category ORDER BY publishers DESC, members DESC, ti DESC, ts DESC, component) AS round FROM f JOIN m USING (component) WHERE r = 1),
+b AS (SELECT component, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY r) AS representatives FROM (SELECT component, ord, row_number() OVER (PARTITION BY component ORDER BY importance DESC, score DESC, ord) AS r FROM p) WHERE r <= 3 GROUP BY component)
+SELECT component, publishers, members, main_category, representatives, CAST(row_number() OVER (ORDER BY round, main_category, component) AS INTEGER) AS place FROM d JOIN b USING (component) QUALIFY place <= 16""")
 def agenda_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("ord")
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), "label").select("ord", F.concat(F.lit("cat"), (n % 3).cast("string")).alias("category"), F.concat(F.lit("p"), (n % 11).cast("string")).alias("publisher"), F.when(n % 3 == 0, n % 41).alias("a"), F.when(n % 7 == 0, n % 13).alias("b"), (F.col("label") % 4).cast("int").alias("importance"), (n % 17).cast("double").alias("score"), F.array(F.lit("s")).alias("signals"))
-    return E.topic_cards(rows, ["a", "b"]).select("component", "publishers", "members", "main_category", "place")
+    return E.topic_cards(rows, ["a", "b"]).select("component", "publishers", "members", "main_category", F.array_join(F.transform("representatives", lambda r: r.cast("string")), ",").alias("representatives"), "place")
 
 
 _HITS = {"local": "(le|les|des)", "foreign": "(the|and)"}
@@ -147,11 +148,11 @@ def qualifier_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("bigint").alias("size"), T.preserves_qualifiers(text, text, (("may", "might"),)).alias("preserved"))
 
 
-@query(f"WITH {ART}, d AS (SELECT category, '*' || category || '*' AS digest FROM art GROUP BY category) SELECT count(*) AS n_blocks FROM d")
+@query(f"WITH {ART}, d AS (SELECT category, '*' || category || '*' AS digest FROM art GROUP BY category) SELECT row_number() OVER (ORDER BY category) - 1 AS pos, 'section' AS type, digest AS text FROM d")
 def block_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = articles(spark, sf_dir).select("category").distinct().withColumn("digest", F.concat(F.lit("*"), F.col("category"), F.lit("*")))
-    blocks = render.blocks(digests).select(F.from_json("blocks", "array<struct<type:string>>").alias("b"))
-    return blocks.select(F.size("b").cast("bigint").alias("n_blocks"))
+    blocks = render.blocks(digests).select(F.posexplode(F.from_json("blocks", "array<struct<type:string,text:struct<type:string,text:string>>>")).alias("pos", "b"))
+    return blocks.select(F.col("pos").cast("bigint").alias("pos"), "b.type", F.col("b.text.text").alias("text"))
 
 
 @query(f"""WITH {EVENT}, l AS (SELECT user_id AS key, max(ts) AS sent_at FROM ev WHERE day < DATE '2024-01-25' AND event_type = 'purchase' GROUP BY user_id), f AS (SELECT DISTINCT user_id AS key FROM ev WHERE day = DATE '2024-01-28')

@@ -124,9 +124,9 @@ def title_hangul_like_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {ART}, t AS (SELECT ord, regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS t FROM art)
-SELECT ord, CASE WHEN t = '' THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3)))) END AS n_grams FROM t""")
+SELECT ord, CASE WHEN t = '' THEN '' ELSE array_to_string(list_sort(list_distinct(list_transform(range(1, greatest(length(t) - 2, 1) + 1), lambda i: substr(t, i, 3)))), ' ') END AS grams FROM t""")
 def title_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir).select("ord", F.size(T.char_ngrams(F.col("title"))).alias("n_grams"))
+    return articles(spark, sf_dir).select("ord", F.array_join(F.array_sort(T.char_ngrams(F.col("title"))), " ").alias("grams"))
 
 
 _RAW = r"regexp_extract_all(lower({0}), '[a-z0-9가-힣]+')"
@@ -155,9 +155,9 @@ def canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ART}, r AS (SELECT ord, list_filter({_RAW.format('title')}, lambda t: length(t) >= 2 AND NOT regexp_matches(t, '\\d')) AS w FROM art),
 a AS (SELECT ord, list_concat(w, CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: left(w[i], 1) || left(w[i + 1], 1) || left(w[i + 2], 1)) ELSE [] END,
 CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: left(w[i], 1) || left(w[i + 1], 1) || left(w[i + 2], 1) || left(w[i + 3], 1)) ELSE [] END) AS e FROM r)
-SELECT ord, len(list_distinct(e)) AS n_entities FROM a""")
+SELECT ord, array_to_string(list_sort(list_distinct(e)), ' ') AS entities FROM a""")
 def key_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir).select("ord", F.size(T.key_entities(F.col("title"))).alias("n_entities"))
+    return articles(spark, sf_dir).select("ord", F.array_join(F.array_sort(T.key_entities(F.col("title"))), " ").alias("entities"))
 
 
 @query(f"""WITH {ART}, t AS (SELECT ord, lower(text) AS t FROM art) SELECT ord, array_to_string(list_filter([{', '.join(f"CASE WHEN {_sql_hit('t', words)} THEN '{g}' END" for g, words in GROUPS.items())}], lambda x: x IS NOT NULL), ',') AS groups FROM t""")
@@ -237,12 +237,12 @@ def json_reply_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), parsed["k"].alias("raw_k"), V.importance(parsed["k"]).alias("importance"))
 
 
-@query("""WITH e AS (SELECT vec_id, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c FROM embeddings), p AS (SELECT vec_id, abs(CAST(a AS DOUBLE)) AS a, abs(CAST(b AS DOUBLE)) AS b, abs(CAST(c AS DOUBLE)) AS c FROM e)
-SELECT vec_id, a <= 1 AND b <= 1 AND c <= 1 AND abs(a + b + c - 1) <= 3 * 0.1 AND a = greatest(a, b, c) AS valid FROM p""")
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS p FROM embeddings)
+SELECT vec_id, list_max(p) <= 1 AND abs(list_sum(p) - 1) <= len(p) * 0.1 AND p[1] = list_max(p) AS valid FROM p""")
 def probability_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda i: F.abs(F.get(F.col("embedding"), F.lit(i)).cast("double"))
-    p = F.create_map(F.lit("a"), at(0), F.lit("b"), at(1), F.lit("c"), at(2))
-    return table(spark, sf_dir, "embeddings").select("vec_id", V.valid_distribution(p, F.lit("a"), slack=0.1).alias("valid"))
+    """Sizes of all components as a distribution in which the first is chosen."""
+    p = F.map_from_arrays(F.sequence(F.lit(1), F.size("embedding")), F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.valid_distribution(p, F.lit(1), slack=0.1).alias("valid"))
 
 
 @query(f"""WITH {ART} SELECT ord, strftime(day, '%y.%m.%d') AS label, CAST(isoyear(day) AS VARCHAR) || '-W' || lpad(CAST(weekofyear(day) AS VARCHAR), 2, '0') AS week, CAST(CAST(day + CAST(5 - isodow(day) AS INTEGER) AS DATE) AS VARCHAR) AS friday,
