@@ -152,3 +152,25 @@ def grounded_lines(lines: DataFrame, rows: DataFrame, most: int = 3) -> DataFram
     known = lines.join(rows.select("ord"), "ord", "left_semi")
     once = known.withColumn("_r", F.row_number().over(Window.partitionBy("ord").orderBy("line"))).where("_r = 1").drop("_r")
     return once.orderBy(F.desc("leader"), "line").limit(most)
+
+
+def fallback_lines(rows: DataFrame, impact: str, limit: int = 3, grant: Column | None = None) -> DataFrame:
+    """(ord, place): headlines without a judge: the impact leader first, then one a category by rank, then by rank.
+
+    A leader has importance 2 and is no grant; without one the best row leads.
+    """
+    fit = (F.col("category") == impact) & (F.col("importance") >= 2) & ~(F.lit(False) if grant is None else F.coalesce(grant, F.lit(False)))
+    order = [F.desc("importance"), F.desc("score"), F.col("ord")]
+    # the shortlist that can be chosen: the best of each category, the best of all and the leader
+    own = ranked(rows.withColumn("_lead", fit), ["category"], order[:2], "_c")
+    best = own.withColumn("_l", F.row_number().over(Window.partitionBy("_lead").orderBy(*order)))
+    short = best.where((F.col("_c") <= limit) | (F.col("_lead") & (F.col("_l") == 1)))
+    leader = F.col("_lead") & (F.col("_l") == 1)
+    first = F.row_number().over(Window.orderBy(leader.desc(), *order))
+    led = short.withColumn("_first", first == 1)
+    head = F.max(F.when(F.col("_first"), F.col("category"))).over(Window.partitionBy())
+    # a category is new once, and the leader's is taken
+    new = ~F.col("_first") & (F.col("_c") == 1) & ~F.col("category").eqNullSafe(head)
+    tier = F.when(F.col("_first"), 0).when(new, 1).otherwise(2)
+    placed = led.withColumn("_tier", tier).withColumn("place", F.row_number().over(Window.orderBy("_tier", *order)))
+    return placed.where(F.col("place") <= limit).select("ord", "place")

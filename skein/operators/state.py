@@ -58,3 +58,35 @@ def fill_forward(lines: DataFrame, group: Sequence[str], order: str, value: Colu
     """Each line with the last value at or before it: headings over list lines."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return lines.withColumn(name, F.last(value, ignorenulls=True).over(w))
+
+
+def decisions(stages: Sequence[tuple[str, DataFrame]], selected: DataFrame, id: str = "ord") -> DataFrame:
+    """(id, decision, stage, reason) of a run: selected rows are sent, others rejected by the first stage that names them.
+
+    Stages are frames of (id, reason) in order.
+    """
+    sent = selected.select(F.col(id), F.lit("sent").alias("decision"), F.lit(None).cast("string").alias("stage"), F.lit(None).cast("string").alias("reason"))
+    named = None
+    for n, (stage, rows) in enumerate(stages):
+        own = rows.select(F.col(id), F.struct(F.lit(n).alias("n"), F.lit(stage).alias("stage"), F.col("reason").cast("string").alias("reason")).alias("why"))
+        named = own if named is None else named.unionByName(own)
+    if named is None:
+        return sent
+    lost = named.join(sent.select(id), id, "left_anti").groupBy(id).agg(F.min("why").alias("why"))
+    return sent.unionByName(lost.select(F.col(id), F.lit("rejected").alias("decision"), "why.stage", "why.reason"))
+
+
+def ledger_kept(ledger: DataFrame, sent: DataFrame, now: Column, days: int = 60) -> DataFrame:
+    """The ledger with this run's alerts (key, sent_at), one a key at its last time, those older than `days` dropped."""
+    both = ledger.select("key", "sent_at").unionByName(sent.select("key", "sent_at"))
+    return both.groupBy("key").agg(F.max("sent_at").alias("sent_at")).where(F.col("sent_at") >= now - F.make_dt_interval(F.lit(days)))
+
+
+def updated_report(report: DataFrame, run_id: str, changes: dict[str, str], issues: Sequence[str] = ()) -> DataFrame:
+    """(run_id, fields, issues): the report of a run with the changes merged in; that of another run is replaced."""
+    spark = report.sparkSession
+    new = spark.createDataFrame([(run_id, changes, list(issues))], "run_id string, fields map<string,string>, issues array<string>")
+    old = report.where(F.col("run_id") == run_id).select("run_id", F.col("fields").alias("_f"), F.col("issues").alias("_i"))
+    none = F.create_map().cast("map<string,string>")
+    kept = F.map_filter(F.coalesce("_f", none), lambda k, v: ~F.array_contains(F.map_keys("fields"), k))
+    return new.join(old, "run_id", "left").select("run_id", F.map_concat(kept, "fields").alias("fields"), F.concat(F.coalesce("_i", F.array().cast("array<string>")), "issues").alias("issues"))

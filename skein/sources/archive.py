@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,12 @@ def recent_sent(archive: DataFrame, day: str, days: int = 7) -> DataFrame:
     """Archived articles with an event key in the days up to `day`."""
     at = F.lit(day).cast("date")
     return archive.where((T.nz("editor_event_key").isNotNull()) & F.col("edition_date").cast("date").between(F.date_sub(at, days), at))
+
+
+def append_weekly(articles: DataFrame, path: str, *, first: str, last: str, sent_at: str, candidates: int, text: str, errors: Sequence[str] = ()) -> None:
+    """Append one record of a weekly edition: its window, counts, market health, articles in order and text."""
+    fields = [c for c in ("category", "region", "title", "url", "source", "weekly_score", "weekly_rank_reasons", "claim_status", "evidence_status") if c in articles.columns]
+    one = articles.agg(F.sort_array(F.collect_list(F.struct("ord", *fields))).alias("articles"), F.count("*").cast("int").alias("article_count"))
+    health = F.struct(F.lit(not errors).alias("complete"), F.array(*[F.lit(e) for e in errors]).cast("array<string>").alias("errors"))
+    record = one.select(F.lit(1).alias("version"), F.lit(sent_at).alias("sent_at"), F.lit(first).alias("start_date"), F.lit(last).alias("end_date"), F.lit(candidates).alias("candidate_count"), "article_count", health.alias("market_health"), "articles", F.lit(text).alias("text"))
+    record.write.mode("append").json(path)

@@ -237,3 +237,21 @@ def public_story_url(url: Column, host: str, pattern: str, template: str) -> Col
     """A verified publication's mail link as its public permalink: the pattern's first group put into the template."""
     slug = F.regexp_extract(T.text_of(url), pattern, 1)
     return F.when((T.host_of(url) == host) & (slug != ""), F.replace(F.lit(template), F.lit("{}"), slug))
+
+
+def issue_lead(html: str | None, subject: str, prefix: str, marker: str, *, following: int = 3, least: int = 250, ends: Sequence[str] = ()) -> list[tuple[str, str]]:
+    """(title, lead) of an issue without links: the paragraph with the marker and the next ones, up to any end phrase.
+
+    Only mails whose subject begins with the prefix have one; the rest of the subject is its title.
+    """
+    title = (subject or "")[len(prefix) :].strip()
+    if not prefix or not marker or not (subject or "").startswith(prefix) or not title:
+        return []
+    paragraphs = [node.text() for node in tree_of(html).find("p")]
+    at = next((i for i, text in enumerate(paragraphs) if marker in text), None)
+    if at is None:
+        return []
+    lead = " ".join(paragraphs[at : at + following + 1])
+    for phrase in ends:
+        lead = lead.partition(phrase)[0]
+    return [(title, lead.strip())] if len(lead) >= least else []

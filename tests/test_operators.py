@@ -209,6 +209,44 @@ def test_eligibility_and_source_regions(spark):
     assert [r.region for r in R.source_region(urls, registry).orderBy(F.col("url").desc_nulls_last()).collect()] == ["korea", "korea", "global", "global"]
 
 
+def test_decisions_ledger_and_report(spark):
+    some = lambda ids: spark.createDataFrame([(i, f"r{i}") for i in ids], "ord int, reason string")
+    out = {r.ord: (r.decision, r.stage, r.reason) for r in H.decisions([("seen", some([1, 2])), ("quota", some([2, 3, 4]))], some([4, 5])).collect()}
+    assert out == {1: ("rejected", "seen", "r1"), 2: ("rejected", "seen", "r2"), 3: ("rejected", "quota", "r3"), 4: ("sent", None, None), 5: ("sent", None, None)}
+    at = lambda rows: spark.createDataFrame(rows, "key string, sent_at string").withColumn("sent_at", F.col("sent_at").cast("timestamp"))
+    kept = H.ledger_kept(at([("a", "2024-01-01"), ("b", "2023-01-01"), ("c", "2023-01-01")]), at([("a", "2024-01-05"), ("c", "2024-01-05")]), F.lit("2024-01-06").cast("timestamp"))
+    assert {(r.key, str(r.sent_at.date())) for r in kept.collect()} == {("a", "2024-01-05"), ("c", "2024-01-05")}
+    report = spark.createDataFrame([("1", {"kind": "daily", "delivery": "none"}, ["x"])], "run_id string, fields map<string,string>, issues array<string>")
+    same = H.updated_report(report, "1", {"delivery": "ok"}, ["y"]).first()
+    assert (same.fields, same.issues) == ({"kind": "daily", "delivery": "ok"}, ["x", "y"])
+    other = H.updated_report(report, "2", {"kind": "weekly"}).first()
+    assert (other.run_id, other.fields, other.issues) == ("2", {"kind": "weekly"}, [])
+
+
+def test_fallback_lines_cover_categories(spark):
+    from skein.operators import editorial as E
+
+    def walk(rows, limit):
+        ranked_rows = sorted(rows, key=lambda r: (-r[2], -r[3], r[0]))
+        lead = next((r for r in ranked_rows if r[1] == "impact" and r[2] >= 2), ranked_rows[0])
+        chosen = [lead]
+        for r in ranked_rows:
+            if len(chosen) < limit and r not in chosen and r[1] not in {c[1] for c in chosen}:
+                chosen.append(r)
+        for r in ranked_rows:
+            if len(chosen) < limit and r not in chosen:
+                chosen.append(r)
+        return [r[0] for r in chosen]
+
+    import random
+
+    for case in range(6):
+        rng = random.Random(case)
+        rows = [(i, rng.choice(["impact", "ai", "macro"][: 1 + case % 3]), rng.randrange(4), float(rng.randrange(5))) for i in range(12)]
+        frame = spark.createDataFrame(rows, "ord int, category string, importance int, score double")
+        assert [r.ord for r in E.fallback_lines(frame, "impact").orderBy("place").collect()] == walk(rows, 3)
+
+
 def test_repeated_rows_stay(spark):
     rows = spark.createDataFrame([("f", "2024-01-10", 1)] * 3, "family string, day string, status int").withColumn("day", F.col("day").cast("date"))
     assert J.recent_events(rows, rows.where("false"), "family", "day", 7, "status").count() == 3

@@ -141,6 +141,35 @@ def test_usage_bodies_and_permalinks(spark):
     assert out == ["https://pub.com/p/the-story", None, None]
 
 
+def test_issue_leads_and_weekly_records(spark, tmp_path):
+    html = "<p>Hello</p><p>This week: " + "words " * 50 + "</p><p>more</p><p>Forwarded? tail</p><p>x</p><p>y</p>"
+    (title, lead), = pages.issue_lead(html, "Letter: Big week", "Letter:", "This week", ends=("Forwarded?",))
+    assert title == "Big week" and lead.startswith("This week: words") and lead.endswith("more")
+    for subject, prefix, marker in (("Other", "Letter:", "This week"), ("Letter: x", "Letter:", "absent"), ("Letter:", "Letter:", "This week"), (None, "Letter:", "This week")):
+        assert pages.issue_lead(html, subject, prefix, marker) == []
+    assert pages.issue_lead("<p>This week</p>", "Letter: x", "Letter:", "This week") == []
+    rows = spark.createDataFrame([(1, "c", "B"), (0, "c", "A")], "ord int, category string, title string")
+    archive.append_weekly(rows, str(tmp_path / "w"), first="2024-01-01", last="2024-01-07", sent_at="2024-01-08", candidates=9, text="t", errors=["late"])
+    out = spark.read.json(str(tmp_path / "w")).first()
+    assert (out.article_count, out.candidate_count, out.market_health.complete, [a.title for a in out.articles]) == (2, 9, False, ["A", "B"])
+
+
+def test_posting_falls_back_once():
+    table = {"type": "table", "rows": [["h"], ["a", "b"], ["c", "d"]]}
+    posted = []
+
+    def post(payload, replies=iter(["invalid_blocks", "ok", "timeout", "invalid_blocks"])):
+        posted.append(payload)
+        return next(replies)
+
+    assert render.post_once({"blocks": [table]}, post) == ("ok", True)
+    assert [b["text"]["text"] for b in posted[1]["blocks"]] == ["a · b", "c · d"]
+    assert render.post_once({"blocks": [table]}, post) == ("timeout", False) and render.post_once({"blocks": [{"type": "section"}]}, post) == ("invalid_blocks", False)
+    assert len(posted) == 4
+    with pytest.raises(ValueError, match="more than 50"):
+        render.without_tables([{"type": "table", "rows": [["h"], *[["x"]] * 51]}])
+
+
 def test_too_many_blocks_fail(spark):
     digests = spark.range(51).select(F.format_string("c%02d", "id").alias("category"), F.lit("x").alias("digest"))
     assert render.blocks(digests.limit(50)).first().blocks.startswith('[{"type":"section"')
