@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from skein.functions import text as T
 from skein.operators import stories as S
 
 
@@ -39,3 +41,9 @@ def test_title_similarity_over_several_squares(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_ELEMENTS", 2000)
     blocks = {(r.i, r.j): r.sim for r in S.lexical_pairs(frame).collect()}
     assert len(whole) >= 60 and blocks.keys() == whole.keys() and all(blocks[k] == pytest.approx(whole[k]) for k in whole)
+
+
+def test_sequence_ratio_leaves_out_what_cannot_reach(spark):
+    frame = spark.createDataFrame([("abcdefgh", "abcdefgi"), ("abc", "abcdefghijkl"), ("abcdefgh", "stuvwxyz"), ("abcdefgh", "hgfedcba")], "a string, b string")
+    got = [r[0] for r in frame.select(T.sequence_ratio(F.col("a"), F.col("b"), 0.8)).collect()]
+    assert got[:3] == [0.875, None, None] and got[3] < 0.8
