@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import cut
+from .stories import SQUARE, products, squares
 
+#: Terms of a block of articles or notes, and notes that all articles ask before the others.
+NOTE_ELEMENTS, FIRST_NOTES = 1_500_000, 8192
 #: Rows of a small side that may be broadcast after they have been counted.
 BROADCAST_ROWS = 100_000
 
@@ -108,9 +114,6 @@ def recent_events(rows: DataFrame, memory: DataFrame, family: str, day: str, day
 
 def vector_memory(rows: DataFrame, store: DataFrame, level: float, id: str = "ord", vector: str = "embedding", block: int = 4096) -> DataFrame:
     """(id, best) of rows alike any stored vector: every row against every stored one, block by block in one shuffle."""
-    import numpy as np
-    import pandas as pd
-
     def dealt(df: DataFrame, side: int, own: str, other: str, n_own: int, n_other: int) -> DataFrame:
         placed = df.select(F.col(id).alias("i"), F.col(vector).cast("array<double>").alias("v"), F.lit(side).alias("side"), F.pmod(F.xxhash64(id), F.lit(n_own)).cast("int").alias(own))
         return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
@@ -139,31 +142,79 @@ def vector_memory(rows: DataFrame, store: DataFrame, level: float, id: str = "or
 
 def attach_notes(articles: DataFrame, notes: DataFrame, title: str = "title", note_title: str = "title", excerpt: str = "excerpt", day: str | None = None, capital: str | None = None, most: int = 2, stopwords: Sequence[str] = ()) -> DataFrame:
     """(ord, note, place, excerpt): at most `most` notes an article, three long terms in common
-    (one of eight letters), or one of seven with capital words on both sides; at most three days apart."""
-    extra = [day] if day else []
-
-    def side(df: DataFrame, c: str, name: str) -> DataFrame:
-        return df.select(F.col("ord").alias(name), *[F.col(d).alias(f"{name}_day") for d in extra], F.col(c).alias(f"{name}_text"), T.long_terms(F.col(c), stopwords).alias(f"{name}_terms"))
-
-    a, b = side(articles, title, "a"), side(notes, note_title, "n")
-    terms = a.select("a", F.size("a_terms").alias("_s"), F.explode("a_terms").alias("term"))
-    others = b.select("n", F.explode("n_terms").alias("term"))
-    if capital is None:
-        # three terms in common: one of the article's rarest, all but two, is among them
-        df = others.groupBy("term").agg(F.count("*").alias("_df"))
-        order = F.row_number().over(Window.partitionBy("a").orderBy("_df", "term"))
-        terms = terms.join(df, "term").withColumn("_r", order).where(F.col("_r") <= F.col("_s") - 2)
-    pairs = terms.select("a", "term").join(others, "term").select("a", "n").distinct()
-    shared = F.array_intersect("a_terms", "n_terms")
-    met = pairs.join(a, "a").join(b, "n").withColumn("k", F.size(shared)).withColumn("longest", F.array_max(F.transform(shared, lambda w: F.length(w))))
-    alone = F.lit(False) if capital is None else (F.col("k") == 1) & (F.col("longest") >= 7) & F.col("a_text").rlike(capital) & F.col("n_text").rlike(capital)
-    same = ((F.col("k") >= 3) & (F.col("longest") >= 8)) | alone
-    if day:
-        same = same & F.coalesce(F.abs(F.datediff("a_day", "n_day")) <= 3, F.lit(True))
+    (one of eight letters), or one of seven with capital words on both sides; at most three days apart.
+
+    Blocks of articles meet blocks of notes, so that no pair is shuffled but the first `most`
+    of an article in a block.  The first notes are asked before the others: articles that
+    have all theirs by then need no more.
+    """
+
+    def side(df: DataFrame, c: str) -> DataFrame:
+        # a term's hash, with its length in the last two bits: 1 for seven letters, 2 for more
+        hashed = lambda w: F.shiftleft(F.shiftright(F.xxhash64(w), 2), 2) + F.when(F.length(w) >= 8, 2).when(F.length(w) == 7, 1).otherwise(0)
+        named = F.lit(False) if capital is None else F.coalesce(F.col(c).rlike(capital), F.lit(False))
+        on = F.unix_date(day).cast("double") if day else F.lit(None).cast("double")
+        out = df.select(F.col("ord").alias("i"), F.transform(T.long_terms(F.col(c), stopwords), hashed).alias("t"), on.alias("d"), named.alias("c"))
+        return cut(out.where(F.size("t") >= (3 if capital is None else 1)))
+
+    def terms(t: np.ndarray) -> tuple:
+        return t, np.ones(len(t))
+
+    def weighed(t: np.ndarray) -> tuple:
+        # one sum holds three counts: all terms, those of eight letters and more, those of seven
+        return t, np.array([1, 1 + (1 << 34), 1 + (1 << 17)], dtype=float)[t & 3]
+
+    def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(parts), ignore_index=True)
+        a, n = part[part["side"] == 0], part[part["side"] == 1].sort_values("i", kind="stable")
+        if not len(a) or not len(n):
+            return
+        ids, (days_a, days_n), (named_a, named_n) = (a["i"].to_numpy(), n["i"].to_numpy()), (a["d"].to_numpy(float), n["d"].to_numpy(float)), (a["c"].to_numpy(bool), n["c"].to_numpy(bool))
+        theirs = squares(list(n["t"]), weighed)
+        for u, square in enumerate(squares(list(a["t"]), terms)):
+            mine = slice(u * SQUARE, u * SQUARE + square[0])
+            had = np.zeros(square[0], int)
+            for v, other in enumerate(theirs):
+                if had.min() >= most:
+                    break
+                its = slice(v * SQUARE, v * SQUARE + other[0])
+                counts = products(square, other).astype(np.int64)
+                k, longest = counts & 131071, (counts >> 17) & 131071
+                same = (k >= 3) & (longest > 0)
+                if capital is not None:
+                    same |= (k == 1) & (counts > 1) & named_a[mine][:, None] & named_n[its][None, :]
+                if day:
+                    same &= ~(np.abs(days_a[mine][:, None] - days_n[its][None, :]) > 3)
+                same &= had[:, None] + np.cumsum(same, axis=1, dtype=np.int32) <= most
+                had += same.sum(axis=1)
+                p, q = np.nonzero(same)
+                yield pd.DataFrame({"a": ids[0][mine][p], "n": ids[1][its][q]})
+
+    def blocks(df: DataFrame, least: int) -> int:
+        return max(least, -(-(df.agg(F.sum(F.size("t"))).first()[0] or 0) // NOTE_ELEMENTS))
+
+    def first_notes(some: DataFrame, others: DataFrame) -> DataFrame:
+        n_some, n_others = blocks(some, 1), blocks(others, 8)
+        deal = lambda df, side, own, n, other, m: df.withColumns({"side": F.lit(side), own: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))})
+        dealt = deal(some.withColumn("i", F.col("i").cast(kind)), 0, "x", n_some, "y", n_others).unionByName(deal(others.withColumn("i", F.col("i").cast(kind)), 1, "y", n_others, "x", n_some))
+        return dealt.groupBy("x", "y").applyInPandas(match, f"a {kind}, n {kind}")
+
     place = F.row_number().over(Window.partitionBy("a").orderBy("n"))
-    chosen = met.where(same).withColumn("place", place).where(F.col("place") <= most)
+    best = lambda found: found.withColumn("place", place).where(F.col("place") <= most)
+    kind = "bigint"
+    a, b = side(articles, title), side(notes, note_title)
+    n = b.count()
+    if n > FIRST_NOTES:
+        early = b.approxQuantile("i", [FIRST_NOTES / n], 0.001)[0]
+        found = cut(best(first_notes(a, b.where(F.col("i") <= early))))
+        done = found.where(F.col("place") == most).select(F.col("a").alias("i"))
+        found = found.drop("place").unionByName(first_notes(cut(a.join(done, "i", "left_anti")), b.where(F.col("i") > early)))
+    else:
+        found = first_notes(a, b)
+    chosen = best(found).select(F.col("a").alias("_a"), "n", "place")
     text = notes.select(F.col("ord").alias("n"), F.left(F.col(excerpt), F.lit(300)).alias("excerpt"))
-    return chosen.join(text, "n").select(F.col("a").alias("ord"), F.col("n").alias("note"), "place", "excerpt")
+    owner = dict(articles.dtypes)["ord"], dict(notes.dtypes)["ord"]
+    return chosen.join(text, "n").select(F.col("_a").cast(owner[0]).alias("ord"), F.col("n").cast(owner[1]).alias("note"), "place", "excerpt")
 
 
 def suffix_match(rows: DataFrame, registry: DataFrame, host: str = "host", domain: str = "domain", value: str = "publisher") -> DataFrame:

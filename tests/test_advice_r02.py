@@ -47,3 +47,25 @@ def test_sequence_ratio_leaves_out_what_cannot_reach(spark):
     frame = spark.createDataFrame([("abcdefgh", "abcdefgi"), ("abc", "abcdefghijkl"), ("abcdefgh", "stuvwxyz"), ("abcdefgh", "hgfedcba")], "a string, b string")
     got = [r[0] for r in frame.select(T.sequence_ratio(F.col("a"), F.col("b"), 0.8)).collect()]
     assert got[:3] == [0.875, None, None] and got[3] < 0.8
+
+
+def test_notes_meet_in_blocks_and_lose_none(spark, monkeypatch):
+    from skein.operators import joins as J
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdef") for _ in range(rng.randint(5, 9))) for _ in range(60)]
+    rows = [(i, " ".join(rng.sample(words, 9)), i % 2) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "ord bigint, title string, side int")
+    articles, notes = (frame.where(f"side = {k}").withColumn("excerpt", F.col("title")) for k in (0, 1))
+
+    def alike(a, b):
+        shared = set(a.split()) & set(b.split())
+        return len(shared) >= 3 and max(map(len, shared)) >= 8
+
+    want = {(a, n, place) for a, x, s in rows if s == 0 for place, n in enumerate([n for n, y, t in rows if t == 1 and alike(x, y)][:2], 1)}
+    found, size = written(spark, lambda: J.attach_notes(articles, notes).collect())
+    assert {(r.ord, r.note, r.place) for r in found} == want
+    assert size < 3_000_000
+    # the same where few notes are asked first
+    monkeypatch.setattr(J, "FIRST_NOTES", 300)
+    assert {(r.ord, r.note, r.place) for r in J.attach_notes(articles, notes).collect()} == want
