@@ -69,3 +69,15 @@ def test_notes_meet_in_blocks_and_lose_none(spark, monkeypatch):
     # the same where few notes are asked first
     monkeypatch.setattr(J, "FIRST_NOTES", 300)
     assert {(r.ord, r.note, r.place) for r in J.attach_notes(articles, notes).collect()} == want
+
+
+def test_merge_rule_shuffles_no_pairs(spark, tmp_path):
+    from skein.plans import catalogue
+
+    rng = random.Random(4)
+    words = ["the", "and", "with", "und", "that", "les"] + [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(rng.sample(words, 8)) + ". Rest.", "src2", "en", 60) for i in range(3000)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    found, size = written(spark, lambda: catalogue.QUERIES["pair_should_merge"](spark, str(tmp_path)).count())
+    near = sum(abs(a % 30 - b % 30) <= 2 for a in range(3000) for b in range(a))
+    assert found == near and size < 850_000
