@@ -113,3 +113,12 @@ def test_told_before_pairs_only_what_shares_enough(spark):
     wide = lambda side, day: spark.range(4000).select(F.col("id").cast("int").alias("ord"), F.lit(date(2024, 1, day)).alias("day"), F.lit("deal").alias("family"), F.lit("").alias("stage"), F.array(F.lit("all"), F.concat(F.lit(side), F.col("id").cast("string"))).alias("entities"), F.lit(1).alias("status"))
     told = E.told_before(wide("x", 10), wide("y", 9))
     assert told.count() == 0
+
+
+def test_title_rules_ignore_case_of_all_letters(spark):
+    from skein.operators import classifier as K
+
+    rules = (K.TitleRule("blog", "(?i)^Ö", unless="(?i)É"),)
+    rows = spark.createDataFrame([("ölig",), ("Ölig",), ("ölig é",), ("olig",)], "title string")
+    got = rows.select(K.title_reason(F.col("title"), F.lit(""), F.lit(False), rules)).collect()
+    assert [r[0] for r in got] == ["blog", "blog", None, None]
