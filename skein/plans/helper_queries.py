@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +99,8 @@ def gate_and_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept, lost = R.rescue(asked.withColumn("still_excluded", F.lit(False)))
     every = gone.withColumn("rejected_by", F.lit("gate")).unionByName(kept.withColumn("rejected_by", F.lit(None).cast("string")).drop("still_excluded")).unionByName(lost.drop("still_excluded"))
     agenda = R.agenda_eligible(F.lit("t"), F.when(F.col("ord") % 7 == 0, "barred").otherwise("open"), F.col("excluded"), F.col("editor_verdict"), ("barred",))
-    return every.select("ord", "deferred", "rejected_by", agenda.alias("agenda"), R.sendable(F.col("excluded"), F.lit(True), F.col("value"), 50.0).alias("sendable_or_equal")).withColumn("sendable", F.col("sendable_or_equal")).drop("sendable_or_equal")
+    # sent from the least score on; the query wants more than 50
+    return every.select("ord", "deferred", "rejected_by", agenda.alias("agenda"), R.sendable(F.col("excluded"), F.lit(True), F.col("value"), math.nextafter(50.0, math.inf)).alias("sendable_or_equal")).withColumn("sendable", F.col("sendable_or_equal")).drop("sendable_or_equal")
 
 
 @query(f"""WITH {HEAD} SELECT ord, ord % 6 = 0 AS selected, CAST(floor((row_number() OVER (ORDER BY ord) - 1) / 80) AS BIGINT) AS batch, CASE WHEN ord % 4 = 0 AND length(substr(head, 1, 9)) >= 8 THEN CASE WHEN ord % 8 = 0 THEN 'keep' ELSE 'reject' END ELSE 'unreviewed' END AS editor_verdict FROM hd""")

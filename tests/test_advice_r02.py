@@ -122,3 +122,14 @@ def test_title_rules_ignore_case_of_all_letters(spark):
     rows = spark.createDataFrame([("ölig",), ("Ölig",), ("ölig é",), ("olig",)], "title string")
     got = rows.select(K.title_reason(F.col("title"), F.lit(""), F.lit(False), rules)).collect()
     assert [r[0] for r in got] == ["blog", "blog", None, None]
+
+
+def test_sendable_is_above_fifty(spark, tmp_path):
+    from datetime import datetime
+
+    from skein.plans import catalogue
+
+    events = [(i, datetime(2024, 1, 1), 1, "view", v, '{"k": 1}') for i, v in enumerate([49.99, 50.0, 50.01])]
+    spark.createDataFrame(events, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.ord: r.sendable for r in catalogue.QUERIES["gate_and_rescue"](spark, str(tmp_path)).collect()}
+    assert got == {0: False, 1: False, 2: True}
