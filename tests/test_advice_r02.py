@@ -133,3 +133,22 @@ def test_sendable_is_above_fifty(spark, tmp_path):
     spark.createDataFrame(events, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.ord: r.sendable for r in catalogue.QUERIES["gate_and_rescue"](spark, str(tmp_path)).collect()}
     assert got == {0: False, 1: False, 2: True}
+
+
+HEAD = "Èleou ouêen an envi de en ouçier vièon en en"
+
+
+def listed(spark, folder):
+    docs = [(i, t, "src1", "fr", len(t)) for i, t in [(1, HEAD + ". Rest"), (31, HEAD + ". Other"), (2, "Leou en an envi")]]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_listing_targets_bound_words_as_the_sql(spark, tmp_path):
+    from skein.plans import catalogue
+
+    got = {r.ord: r.target for r in catalogue.QUERIES["listing_targets"](spark, listed(spark, tmp_path)).collect()}
+    assert got == {1: "en", 31: "en", 2: "en"}
+    # the operator's own edge is that of all letters
+    row = spark.createDataFrame([(HEAD, "èleou_ouêen")], "t string, k string")
+    assert row.select(S.listing_target(F.col("t"), F.col("k"), "(?i)an", (), (), "an")).first()[0] is None
