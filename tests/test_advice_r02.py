@@ -152,3 +152,10 @@ def test_listing_targets_bound_words_as_the_sql(spark, tmp_path):
     # the operator's own edge is that of all letters
     row = spark.createDataFrame([(HEAD, "èleou_ouêen")], "t string, k string")
     assert row.select(S.listing_target(F.col("t"), F.col("k"), "(?i)an", (), (), "an")).first()[0] is None
+
+
+def test_listing_collapse_takes_those_targets(spark, tmp_path):
+    from skein.plans import catalogue
+
+    got = {r.ord: r.dedup_reason for r in catalogue.QUERIES["listing_collapse"](spark, listed(spark, tmp_path)).collect()}
+    assert sorted(got.values(), key=str).count("same_target_cluster") >= 1
