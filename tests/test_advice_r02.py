@@ -159,3 +159,13 @@ def test_listing_collapse_takes_those_targets(spark, tmp_path):
 
     got = {r.ord: r.dedup_reason for r in catalogue.QUERIES["listing_collapse"](spark, listed(spark, tmp_path)).collect()}
     assert sorted(got.values(), key=str).count("same_target_cluster") >= 1
+
+
+def test_stories_shuffle_no_pairs_of_a_series(spark):
+    from datetime import date
+
+    facts = "ord int, title string, day date, source string, feed string, types array<string>, stage string, families array<string>, tokens array<string>, rates array<string>, actors array<string>, actions array<string>, reaction boolean"
+    titles = headlines(1200)
+    rows = [(i, t, date(2024, 1, 1 + i % 3), "a", "f", [], "", [], sorted(t.split()), [], [], [], False) for i, t in titles]
+    found, size = written(spark, lambda: S.story_clusters(spark.createDataFrame(rows, facts)).collect())
+    assert len(found) == 1200 and size < 4_000_000, size
