@@ -169,3 +169,27 @@ def test_stories_shuffle_no_pairs_of_a_series(spark):
     rows = [(i, t, date(2024, 1, 1 + i % 3), "a", "f", [], "", [], sorted(t.split()), [], [], [], False) for i, t in titles]
     found, size = written(spark, lambda: S.story_clusters(spark.createDataFrame(rows, facts)).collect())
     assert len(found) == 1200 and size < 4_000_000, size
+
+
+def test_slim_cuts_make_few_files(spark):
+    """However many partitions the session deals out: each file costs an executor two processes."""
+    from skein.llm import neardup
+    from skein.operators import clusters as C
+    from skein.session import SLIM_FILES
+
+    dealt = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in dealt}
+    most = SLIM_FILES * spark.sparkContext.defaultParallelism
+    assert most < 97
+    try:
+        for k, v in dealt.items():
+            spark.conf.set(k, v)
+        labels = C.component_labels(spark.createDataFrame([(i, i + 3) for i in range(300)], "i bigint, j bigint"))
+        assert labels.rdd.getNumPartitions() <= most
+        assert {(r.node, r.component) for r in labels.collect()} == {(i, i % 3) for i in range(303)}
+        text = " ".join(f"w{i}" for i in range(60))
+        docs = spark.createDataFrame([(i, f"{text} x{i}" if i < 40 else f"own words of number {i}") for i in range(50)], "doc_id bigint, text string")
+        assert {r.doc_id for r in neardup.keep_one(docs).collect()} == {0, *range(40, 50)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
