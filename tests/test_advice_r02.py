@@ -193,3 +193,19 @@ def test_slim_cuts_make_few_files(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["listing_targets", "listing_collapse"])
+def test_listings_of_odd_letters_and_spaces_are_the_sql_s(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    from skein.plans import catalogue
+
+    rng = random.Random(11)
+    words = ["an", "in", "and", "ſteel", "steel", "font", "price", "acme", "in\x0ban", "a\x0bn", "in an", " ", "　", "İn", "ſ"]
+    docs = [(i, rng.choice(["", " ", "\t"]) + " ".join(rng.choice(words) for _ in range(rng.randrange(7))) + rng.choice(["", " . More"]), "src1", "en", rng.randrange(9)) for i in range(600)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    ours = catalogue.QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    theirs = con.sql(f"SELECT {', '.join(ours.columns)} FROM ({catalogue.SQL[name]})").fetchall()
+    assert sorted(map(tuple, ours.collect()), key=str) == sorted(theirs, key=str)
